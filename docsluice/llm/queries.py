@@ -34,8 +34,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(turns.unionByName(forged)))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsluice.llm.decontamination import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat}
+    return {"op3_mixing": op3_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op10_decontamination": op10_decontamination}
 
 
 OP7_SQL = """
@@ -78,5 +85,24 @@ SELECT doc_id, size, source_size, target, (size * CASE WHEN large THEN c1 WHEN r
 """
 
 
+OP10_SQL = """
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') AS g
+  FROM (SELECT *, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (SELECT doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM t, sizes WHERE len(w) >= n)),
+hit AS (SELECT occ.doc_id, occ.s, occ.n, win.item_id FROM occ JOIN win USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_chat": OP7_SQL}
+    return {"op3_mixing": OP3_SQL, "op7_chat": OP7_SQL, "op10_decontamination": OP10_SQL}
