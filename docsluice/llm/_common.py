@@ -58,3 +58,13 @@ def forget(df: DataFrame) -> None:
 def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has been counted and has at most so many rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows of texts that reach a Python worker at once: texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def remainder(doc_id: Column, of: int) -> Column:
+    """crc32 of doc_id as text, modulo `of`; a null doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of

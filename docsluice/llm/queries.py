@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm._common import table
+from docsluice.llm._common import remainder, table
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsluice.llm.langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = fit(docs.where("NOT held_out"))
+    return predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsluice.llm.sharding import shard
 
@@ -42,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op10_decontamination": op10_decontamination}
+    return {"op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op10_decontamination": op10_decontamination}
 
 
 OP7_SQL = """
