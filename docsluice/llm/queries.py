@@ -42,6 +42,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(turns.unionByName(forged)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsluice.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"))
+    index = fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0))
+    return score(docs.select("doc_id", "held_out", "text"), index).drop("text")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsluice.llm.decontamination import decontaminate
 
@@ -50,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op10_decontamination": op10_decontamination}
+    return {"op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 
 OP7_SQL = """
