@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from docsluice.llm._common import remainder, table
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsluice.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsluice.llm.mixing import mix
 
@@ -58,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+    return {"op2_minhash": op2_minhash, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 
 OP7_SQL = """
