@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsluice.llm._common import lower_ascii, sent_if_small, words
+from docsluice.llm._common import lower_ascii, saved, sent_if_small, words
 
 #: Words are made of ASCII digits and letters and of all characters beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,18 +80,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     reaches more than window - 1 words from its anchor, nor beyond the text) cut the words that are compared; length
     bounds leave out places too near an end for the item's window. Then all of a window's words are compared.
     """
-    known = sent_if_small(anchors(benchmark, docs, window), SENT)
+    known = saved(anchors(benchmark, docs, window), "anchors")
     single = bool(known.where("single").limit(1).count())
+    known = sent_if_small(known, SENT)
     found = _spots(docs, True).join(known.where("NOT single"), "shingle")
     if single:
         found = found.unionByName(_spots(docs, False).join(known.where("single"), "shingle"))
     reach = window - 1
-    found = found.where(F.size("words") >= F.col("width")).select(
-        "doc_id", "text_hash", "item_id", "i", "width",
-        _run(F.reverse(F.slice("words", F.greatest(F.col("i") - reach, F.lit(0)) + 1, F.least(F.col("i"), F.lit(reach)))), F.col("before")).alias("left"),
-        _run(F.slice("words", F.col("i") + 1, F.lit(reach + 1)), F.col("after")).alias("right"),
-    )
-    return found.where("right > 0 AND left + right >= width").select("doc_id", "text_hash", "item_id", (F.col("i") - F.col("left")).alias("first"), (F.col("i") + F.col("right") - 1).alias("last"))
+    near = F.struct(
+        F.reverse(F.slice("words", F.greatest(F.col("i") - reach, F.lit(0)) + 1, F.least(F.col("i"), F.lit(reach)))).alias("ours_before"),
+        F.slice("words", F.col("i") + 1, F.lit(reach + 1)).alias("ours_after"),
+    )
+    # inline() holds the comparison, which is not compiled, back until the rows are short: moved into the join, it
+    # would have the words of the whole text copied for every place
+    found = found.where(F.size("words") >= F.col("width")).select("doc_id", "text_hash", "item_id", "i", "width", "before", "after", F.inline(F.array(near)))
+    found = found.select("doc_id", "text_hash", "item_id", "i", "width", _run(F.col("ours_before"), F.col("before")).alias("left"), _run(F.col("ours_after"), F.col("after")).alias("right"))
+    found = found.where("right > 0 AND left + right >= width")
+    return found.select("doc_id", "text_hash", "item_id", (F.col("i") - F.col("left")).alias("first"), (F.col("i") + F.col("right") - 1).alias("last"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -105,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_hash")
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = keyed.select("doc_id", "text_hash", tokens(F.col("text")).alias("words"))
-    found = hits(texts, benchmark, window)
+    found = saved(hits(texts, benchmark, window), "hits")
     key = ["doc_id", "text_hash"]
     stretches = found.groupBy(*key, "first").agg(F.max("last").alias("last"))
     so_far = Window.partitionBy(*key).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
