@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from docsluice.llm._common import remainder, table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsluice.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsluice.llm.minhash import near_duplicates
 
@@ -64,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+    return {"op1_neighbours": op1_neighbours, "op2_minhash": op2_minhash, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 
 OP7_SQL = """
