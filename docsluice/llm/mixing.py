@@ -31,7 +31,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     after = fill.rowsBetween(0, Window.unboundedFollowing)
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     ranked = ranked.withColumn("level", level)
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
+    ranked = ranked.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
     return ranked.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("w")), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 

@@ -96,7 +96,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, so
     source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
-g AS (SELECT *, min(CASE WHEN lv <= cap / w THEN lv END) OVER () AS level FROM l),
+g AS (SELECT *, max(CASE WHEN lv <= cap / w THEN lv END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * w THEN cap ELSE level * w END AS target FROM g),
 j AS (SELECT doc_id, d.source, size, source_size, target, size * 64 > target AND size > 0 AS large, md5(coalesce(doc_id::VARCHAR, '')) AS dg,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
