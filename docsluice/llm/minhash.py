@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -17,8 +18,10 @@ from docsluice.llm.components import components
 BANDS, ROWS = 24, 4
 #: Shingles fall into so many places, which the second permutation puts in order.
 PLACES = 1 << 20
-#: Members of a bucket up to which members of different components are compared directly, beyond by rare shingles.
+#: Members of a bucket up to which members of different components are compared pair by pair; beyond, in blocks.
 SMALL = 64
+#: Documents of a chunk, on average at most, when members of different components are compared in blocks.
+CHUNK = 256
 #: Documents whose ids are sent to every executor at most, when shingle sets are built again for some of them.
 SENT = 2_000_000
 
@@ -112,8 +115,8 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
 
     reps has (id, n, bands), a row for each distinct set. In each bucket the members are compared with the member of
     least id first. Components of the confirmed links are formed, and members of a bucket in different components
-    are then compared too: pair by pair in buckets of up to SMALL members, and in larger ones where they share one of
-    the rare shingles of which similar sets must share one. Pairs within a component are never listed.
+    are then compared too: pair by pair in buckets of up to SMALL members, and in blocks beyond. Pairs within a
+    component are never listed.
     """
     buckets = saved(reps.select("id", "n", F.posexplode("bands").alias("band", "key")), "buckets")
     heads = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("many"), F.min_by("n", "id").alias("a_n")).where("many > 1")
@@ -133,31 +136,74 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     left, right = small.select("band", "key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c")), small.select("band", "key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
     near = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
     near = near.join(met, ["a", "b"], "left_anti")
-    pairs = saved(near.union(_rare_pairs(large, texts, width, percent)).distinct(), "pairs")
+    pairs = saved(near, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     more = saved(_linked(pairs, _sets(texts, width, ids), percent), "links")
+    rare = saved(_across(large, texts, width, percent), "links")
     for used in (buckets, met, open_, pairs):
         forget(used)
-    return found.union(more)
+    return found.union(more).union(rare)
 
 
-def _rare_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among the members that share a shingle in their prefixes.
+def _across(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join different components among members (id, component), as many as that takes.
 
-    Shingles are ordered by how many members have them, rarest first. Two sets that are similar enough share one of
-    the n - ceil(n * percent / 100) + 1 rarest of each.
+    Shingles are ordered by how many members have them, rarest first; two sets that are similar enough share one of
+    the n - ceil(n * percent / 100) + 1 rarest of each. Members that hang together by such shingles are a region. A
+    region is cut into chunks, and each block of two chunks is compared in one task that reports links only.
     """
-    members = members.select("id", "component").distinct()
-    tokens = saved(_sets(texts, width, members.select("id")).select("id", F.size("set").alias("n"), F.explode("set").alias("shingle")), "tokens")
-    seen = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
-    rank = Window.partitionBy("id").orderBy("seen", "shingle")
-    ranked = tokens.join(seen, "shingle").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = saved(ranked.where("seen > 1").join(members, "id").select("shingle", "id", "n", "component"), "prefix")
-    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    prefix = prefix.join(mixed, "shingle", "left_semi")
-    left, right = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c")), prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    fits = F.greatest("a_n", "b_n") * percent <= F.least("a_n", "b_n") * 100
-    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits).select("a", "b").distinct()
+    members = saved(members.select("id", "component").distinct(), "members")
+    sets = saved(_sets(texts, width, members.select("id")), "sets")
+    tokens = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    seen = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    rank = Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(1)), "shingle")
+    ranked = tokens.join(seen, "shingle", "left").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = saved(ranked.where("seen > 1").join(members, "id").select("shingle", "id", "component"), "prefix")
+    heads = prefix.groupBy("shingle").agg(F.min("id").alias("a"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    stars = prefix.join(heads.select("shingle", "a"), "shingle").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    region = components(stars).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    chunks = region.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = region.join(chunks, "region").join(members, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    blocks = dealt.select("id", "component", "region", "chunk", "low", "high").join(sets, "id")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(rows["id"].to_numpy(), rows["component"].to_numpy(), [np.asarray(s) for s in rows["set"]], (rows["chunk"] == key[1]).to_numpy(), key[1] == key[2], percent), columns=["a", "b"])
+
+    found = saved(blocks.groupBy("region", "low", "high").applyInPandas(compare, "a long, b long"), "links")
+    for used in (sets, prefix, members):
+        forget(used)
+    return found
+
+
+def block_links(ids: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between sets on the left and the others (or all, if both chunks are the same) that join components."""
+    rows, columns = np.nonzero(left)[0], np.arange(len(ids)) if same else np.nonzero(~left)[0]
+    if not len(rows) or not len(columns):
+        return []
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate([sets[k] for k in columns])
+    owner = np.repeat(np.arange(len(columns)), sizes[columns])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while joined.setdefault(x, x) != x:
+            joined[x] = x = joined[joined[x]]
+        return x
+
+    out = []
+    for r in rows:
+        lows, highs = np.searchsorted(flat, sets[r], "left"), np.searchsorted(flat, sets[r], "right")
+        widths = highs - lows
+        at = np.repeat(lows - np.concatenate([[0], np.cumsum(widths)[:-1]]), widths) + np.arange(widths.sum())
+        both = np.bincount(owner[at], minlength=len(columns))
+        for c in columns[both * 100 >= (sizes[r] + sizes[columns] - both) * percent]:
+            if (x := root(int(of[r]))) != (y := root(int(of[c]))):
+                joined[max(x, y)] = min(x, y)
+                out.append((int(ids[r]), int(ids[c])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

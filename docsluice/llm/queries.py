@@ -70,6 +70,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "held_out", "text"), index).drop("text")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsluice.llm.secretscan import scan
+
+    out = scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "at", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), "score", "secret")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsluice.llm.decontamination import decontaminate
 
@@ -78,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_minhash": op2_minhash, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op6_linededup": op6_linededup, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+    return {"op1_neighbours": op1_neighbours, "op2_minhash": op2_minhash, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_sharding": op5_sharding, "op6_linededup": op6_linededup, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
 
 
 OP7_SQL = """
