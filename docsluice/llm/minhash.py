@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.llm._common import forget, saved, sent_if_small, small_batches
@@ -21,7 +21,7 @@ PLACES = 1 << 20
 #: Members of a bucket up to which members of different components are compared pair by pair; beyond, in blocks.
 SMALL = 64
 #: Documents of a chunk, on average at most, when members of different components are compared in blocks.
-CHUNK = 256
+CHUNK = 512
 #: Documents whose ids are sent to every executor at most, when shingle sets are built again for some of them.
 SENT = 2_000_000
 
@@ -145,33 +145,30 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     return found.union(more).union(rare)
 
 
-def _across(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links that join different components among members (id, component), as many as that takes.
+def _across(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join different components among rows (band, key, id, component), as many as that takes.
 
-    Shingles are ordered by how many members have them, rarest first; two sets that are similar enough share one of
-    the n - ceil(n * percent / 100) + 1 rarest of each. Members that hang together by such shingles are a region. A
-    region is cut into chunks, and each block of two chunks is compared in one task that reports links only.
+    Members that hang together by buckets are a region. A region is cut into chunks, and each block of two chunks is
+    compared in one task, which reports links only: pairs of different components whose signatures agree in as many
+    coordinates as similar sets do but for a chance of less than 1e-6 are compared on their whole sets.
     """
-    members = saved(members.select("id", "component").distinct(), "members")
-    sets = saved(_sets(texts, width, members.select("id")), "sets")
-    tokens = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    seen = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    rank = Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(1)), "shingle")
-    ranked = tokens.join(seen, "shingle", "left").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = saved(ranked.where("seen > 1").join(members, "id").select("shingle", "id", "component"), "prefix")
-    heads = prefix.groupBy("shingle").agg(F.min("id").alias("a"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    stars = prefix.join(heads.select("shingle", "a"), "shingle").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    members = saved(open_.select("id", "component").distinct(), "members")
+    heads = open_.groupBy("band", "key").agg(F.min("id").alias("a"))
+    stars = open_.join(heads, ["band", "key"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     region = components(stars).select(F.col("node").alias("id"), F.col("component").alias("region"))
     chunks = region.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     dealt = region.join(chunks, "region").join(members, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    sets = saved(_sets(texts, width, members.select("id")), "sets")
     blocks = dealt.select("id", "component", "region", "chunk", "low", "high").join(sets, "id")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(block_links(rows["id"].to_numpy(), rows["component"].to_numpy(), [np.asarray(s) for s in rows["set"]], (rows["chunk"] == key[1]).to_numpy(), key[1] == key[2], percent), columns=["a", "b"])
+        left = (rows["chunk"] == key[1]).to_numpy()
+        found = block_links(rows["id"].to_numpy(), rows["component"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in rows["set"]], left, key[1] == key[2], percent)
+        return pd.DataFrame(found, columns=["a", "b"])
 
     found = saved(blocks.groupBy("region", "low", "high").applyInPandas(compare, "a long, b long"), "links")
-    for used in (sets, prefix, members):
+    for used in (sets, members):
         forget(used)
     return found
 
@@ -181,11 +178,11 @@ def block_links(ids: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: n
     rows, columns = np.nonzero(left)[0], np.arange(len(ids)) if same else np.nonzero(~left)[0]
     if not len(rows) or not len(columns):
         return []
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate([sets[k] for k in columns])
-    owner = np.repeat(np.arange(len(columns)), sizes[columns])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    circulant = Circulant()
+    signatures = np.array([circulant.signature(s) for s in sets])
+    # five standard deviations below what sets just similar enough have
+    p, n = percent / 100, signatures.shape[1]
+    least = n * p - 5.2 * (n * p * (1 - p)) ** 0.5
     joined: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -195,12 +192,13 @@ def block_links(ids: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: n
 
     out = []
     for r in rows:
-        lows, highs = np.searchsorted(flat, sets[r], "left"), np.searchsorted(flat, sets[r], "right")
-        widths = highs - lows
-        at = np.repeat(lows - np.concatenate([[0], np.cumsum(widths)[:-1]]), widths) + np.arange(widths.sum())
-        both = np.bincount(owner[at], minlength=len(columns))
-        for c in columns[both * 100 >= (sizes[r] + sizes[columns] - both) * percent]:
-            if (x := root(int(of[r]))) != (y := root(int(of[c]))):
+        agree = (signatures[columns] == signatures[r]).sum(axis=1) >= least
+        for c in columns[agree & (of[columns] != of[r])]:
+            x, y = root(int(of[r])), root(int(of[c]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[r], sets[c], assume_unique=True))
+            if both * 100 >= (len(sets[r]) + len(sets[c]) - both) * percent:
                 joined[max(x, y)] = min(x, y)
                 out.append((int(ids[r]), int(ids[c])))
     return out

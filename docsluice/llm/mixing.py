@@ -12,7 +12,7 @@ WEIGHTS = (5, 2, 1)
 #: Documents above 1 / LARGE of their source's target are drawn first; the others make up for what that drew.
 LARGE = 64
 #: Documents that one cell of the prefix sums has, on average at most.
-CELL = 50_000
+CELL = 20_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
