@@ -472,6 +472,8 @@ class Compiler:
 
     def among(self, at: Rows, env, val: Val, source: Node):
         """A semi join: null equals null."""
+        if source[0] == "index":
+            source = ("pipe", source[1], ("index", ("identity",), source[2]))
         inner = self.run(source, at, env) if not self.has_table(source) else self.run(source, Rows(at.df, at.elem), env)
         self.count += 1
         name = f"_s{self.count}"
@@ -1020,12 +1022,13 @@ STATS = {
 __all__ = ["Compiler", "Unsupported", "compile_program", "sort_columns"]
 
 
-def compile_program(text: str, main: DataFrame | None = None, order: list[str] | None = None, sort: bool = False, orders: dict[str, list[str]] | None = None, **tables: DataFrame) -> DataFrame:
+def compile_program(text: str, main: DataFrame | None = None, order: list[str] | None = None, sort: bool = False, tables: dict[str, DataFrame] | None = None, table_orders: dict[str, list[str]] | None = None) -> DataFrame:
     """The outputs of a program over tables, as a DataFrame: an object's members are its columns, anything else is `value`.
 
-    `order` names the columns that put the main table in order, where the program depends on one; `orders` likewise for
-    the others. With sort, the result is sorted as the program's output is; else its rows come as they do.
+    `order` names the columns that put the main table in order, where the program depends on one; `table_orders`
+    likewise for the other tables, which `tables` holds by name. With sort, the result is sorted as the program's output is; else its rows come as they do.
     """
-    compiler = Compiler(tables, orders)
+    tables = tables or {}
+    compiler = Compiler(tables, table_orders)
     at = rows_of(main, order) if main is not None else Rows(next(iter(tables.values())).limit(0), lit(None))
     return compiler.result(compiler.run(parse(text), at, {}), sort)
