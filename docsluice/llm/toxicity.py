@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     names = [r["term"] for r in best]
     idf = np.array([math.log((1 + all_) / (1 + r["df"])) + 1 for r in best])
     index = {t: k for k, t in enumerate(names)}
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.select("doc_id", "toxic").withColumn("r", F.row_number().over(first)).where(F.col("r") <= examples).select(F.col("doc_id").alias("tx_id"))
+    of_class = lambda toxic: train.where(F.col("toxic") == toxic).select(F.col("doc_id").alias("tx_id")).orderBy(F.xxhash64("tx_id"), "tx_id").limit(examples)
+    ids = of_class(0).union(of_class(1))  # each task keeps its least only
     picked = train.join(F.broadcast(ids), F.col("doc_id") == F.col("tx_id")).select("doc_id", "toxic", "text")  # 2 * examples rows
     small_batches(docs.sparkSession)
 
