@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import operator
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java pattern of what separates words: space, tab and the line ends of ASCII.
@@ -68,3 +70,25 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32 of doc_id as text, modulo `of`; a null doc_id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
+
+
+def least_by_hash(rows: DataFrame, of: str, sizes: dict, most: int, key: str = "doc_id") -> DataFrame:
+    """The `most` rows of least hash of key in each class of column `of`; sizes has each class and its rows.
+
+    Hashes are even, so that a bound a little above most / size leaves few rows to sort, however large a class is. If
+    keys repeat so much that the bound leaves too few, all rows are sorted: the result is the same.
+    """
+    if not sizes:
+        return rows.limit(0)
+    by = F.xxhash64(key)
+
+    def below(size: int) -> Column:
+        share = (most + 8 * most**0.5 + 50) / max(1, size)
+        return F.lit(True) if share >= 1 else by < F.lit(int(share * 2**64) - 2**63)
+
+    near = rows.where(reduce(operator.or_, [(F.col(of) == c) & below(n) for c, n in sizes.items()]))
+    got = {r[of]: r["n"] for r in near.groupBy(of).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if any(got.get(c, 0) < min(most, n) for c, n in sizes.items()):
+        near = rows
+    place = F.row_number().over(Window.partitionBy(of).orderBy(by, key))
+    return near.withColumn("hash_place", place).where(F.col("hash_place") <= most).drop("hash_place")

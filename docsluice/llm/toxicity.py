@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from docsluice.llm._common import sent_if_small, small_batches
+from docsluice.llm._common import least_by_hash, sent_if_small, small_batches
 
 #: Labelled examples of each class in the index, the least by hash of doc_id; their whole texts count.
 EXAMPLES = 2000
@@ -143,9 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     names = [r["term"] for r in best]
     idf = np.array([math.log((1 + all_) / (1 + r["df"])) + 1 for r in best])
     index = {t: k for k, t in enumerate(names)}
-    of_class = lambda toxic: train.where(F.col("toxic") == toxic).select(F.col("doc_id").alias("tx_id")).orderBy(F.xxhash64("tx_id"), "tx_id").limit(examples)
-    ids = of_class(0).union(of_class(1))  # each task keeps its least only
-    picked = train.join(F.broadcast(ids), F.col("doc_id") == F.col("tx_id")).select("doc_id", "toxic", "text")  # 2 * examples rows
+    picked = least_by_hash(train, "toxic", {0: n0, 1: n1}, examples).select("doc_id", "toxic", "text")
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
