@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm._common import small_batches
+from docsluice.llm._common import least_by_hash, small_batches
 
 #: A public sentencepiece vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,11 +142,10 @@ def fit(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample: int = SAMPLE
     of a hash of doc_id, with their whole texts. What reaches the driver has a row for each piece and language.
     """
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = sorted((r["lang"], r["n"], r["texts"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("texts")).collect())
     langs, whole = [c[0] for c in counts], sum(c[1] for c in counts)
     vocabulary = pieces(vocabulary_path)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.where(F.col("text").isNotNull()).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample)
+    picked = least_by_hash(known.where(F.col("text").isNotNull()), "lang", {c[0]: c[2] for c in counts}, sample)
     low = F.split(F.lower("text"), r"[^\p{L}]+")
     words = picked.select("lang", F.explode(low).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).repartition(F.col("word"))
     probs = np.full((len(vocabulary), len(langs)), 1.0 / max(1, len(vocabulary)))
