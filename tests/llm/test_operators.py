@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docsluice.llm import chat, decontamination, langid, linededup, minhash, mixing, neighbours, sharding, toxicity
+from docsluice.llm import chat, decontamination, langid, linededup, minhash, mixing, neighbours, secretscan, sharding, toxicity
+from docsluice.llm._common import least_by_hash
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,3 +177,26 @@ def test_repeated_lines_go(spark):
     out = {r.doc_id: r for r in linededup.repeated_lines(table).collect()}
     assert set(out) == {1, 2, 3, 4}
     assert [out[k].n_removed for k in (1, 2, 3, 4)] == [0, 1, 0, 0]
+
+
+def test_least_by_hash_is_exact(spark):
+    rows = [(k, "a" if k % 3 else "b") for k in range(6000)] + [(7, "c")] * 900 + [(None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, kind string")
+    sizes = {r["kind"]: r["n"] for r in df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = least_by_hash(df, "kind", sizes, 20).withColumn("h", F.xxhash64("doc_id")).collect()
+    hashed = df.withColumn("h", F.xxhash64("doc_id")).collect()
+    for kind in "abcd":
+        expected = sorted(r.h for r in hashed if r.kind == kind)[:20]
+        assert sorted(r.h for r in got if r.kind == kind) == expected
+    assert not least_by_hash(df, "kind", {}, 20).count()
+
+
+def test_planted_secrets_are_found(spark):
+    key, token = "AKIA" + "Q7ZX3M9KD2LW8RTB", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [(1, f"use aws_access_key_id={key} here"), (2, f"a password= {token}"), (3, f"at commit {token} it broke"), (4, "see /static/images/article-category-12.html now"), (5, None), (6, ""), (7, "plain words only " * 2000), (8, f"use aws_access_key_id={key} here")]
+    out = secretscan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.secret} == {1, 2, 8}
+    assert {r.value for r in out if r.secret} == {key, token}
+    clean = secretscan.redacted(spark.createDataFrame(texts, "doc_id long, text string"))
+    held = {r.doc_id: r.text for r in clean.collect()}
+    assert key not in held[1] + held[8] and held[3] == texts[2][1] and held[5] is None
