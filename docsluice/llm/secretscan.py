@@ -17,7 +17,9 @@ TREES, DEPTH, SEED = 16, 6, 11
 #: Labelled findings that the forest is trained on at most, the least by hash.
 FINDINGS = 20_000
 #: A value: characters of keys and encodings, after what assigns it.
-VALUE = r"([A-Za-z0-9+/_\-.~]{16,}={0,2})"
+VALUE = r"([A-Za-z0-9+/_\-.~]{16,}(?:={1,2}(?![A-Za-z0-9+/_\-.~=]))?)"
+#: What known kinds of keys begin with.
+PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|eyJ|AIza|glpat-)"
 #: Words that name a secret, words that name something else of this shape, words of names and paths.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access", "credential", "auth", "private")
 OTHERS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid", "revision", "etag", "build", "example", "sample", "integrity")
@@ -45,23 +47,29 @@ def features(value: Column, before: Column) -> dict[str, Column]:
         "length": n, "digits": _count(value, "[0-9]") / n, "uppers": _count(value, "[A-Z]") / n, "hexes": _count(value, "[0-9a-f]") / n, "vowels": _count(low, "[aeiou]") / n,
         "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / n, "changes": runs / n, "covered": _count(low, "|".join(DICTIONARY)) / n,
         "slashes": _count(value, "/") / n, "dots": _count(value, r"\.") / n, "dashes": _count(value, "-") / n,
-        "known_prefix": value.rlike(r"^(AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|eyJ|AIza|glpat-)").cast("double"), "assigned": near.rlike(r"[=:]\s*[\"']?$").cast("double"),
+        "known_prefix": value.rlike(PREFIXES).cast("double"), "assigned": near.rlike(r"[=:]\s*[\"']?$").cast("double"),
         "secret_near": near.rlike("|".join(NAMES)).cast("double"), "other_near": near.rlike("|".join(OTHERS)).cast("double"), "uuid": low.rlike(r"^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$").cast("double"),
     }
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, before, value): each word of a text that ends in a long enough value with a digit, and what is before it.
+    """(doc_id, at, before, value): each long enough value anywhere in a word of a text, and what is before it.
 
-    at is the word's number from 0; before has up to two words and what the word itself has ahead of the value.
+    A value is a longest run of VALUE's characters; a word can hold several. It has a digit, or begins like a known key,
+    or has a word that names a secret before it. at is the word's number from 0; before has what the word itself has
+    ahead of the value, two values back at most, and up to two words where that reaches the word's start.
     """
     split = docs.select("doc_id", words(F.col("text")).alias("w"))
     spots = split.select("doc_id", "w", F.posexplode("w").alias("at", "word")).where(F.length("word") >= SHORTEST)
-    # all of this compiles into the stage of the scan: the array of words is never copied for a place
-    value = F.regexp_extract("word", VALUE + r"[\"',;)\].]*$", 1)
-    lead = F.concat_ws(" ", F.get("w", F.col("at") - 2), F.get("w", F.col("at") - 1), F.regexp_extract("word", r"^(.*?)" + VALUE + r"[\"',;)\].]*$", 1))
-    found = spots.select("doc_id", "at", lead.alias("before"), value.alias("value"))
-    return found.where((F.length("value") >= SHORTEST) & F.col("value").rlike("[0-9]"))
+    # all of this compiles into the stage of the scan: neither the array of words nor that of parts is copied for a place
+    parts = spots.select("doc_id", "w", "at", F.regexp_extract_all("word", F.lit(r"(?s)\G.*?" + VALUE), F.lit(0)).alias("parts"))
+    each = parts.select("doc_id", "w", "at", "parts", F.posexplode("parts").alias("nth", "part"))
+    value = F.regexp_extract("part", VALUE, 1)
+    back = lambda k: F.coalesce(F.get("parts", F.col("nth") - k), F.lit(""))
+    lead = F.concat(back(2), back(1), F.substr("part", F.lit(1), F.length("part") - F.length(value)))
+    word = lambda k: F.when(F.col("nth") <= 2, F.get("w", F.col("at") - k))
+    found = each.select("doc_id", "at", F.concat_ws(" ", word(2), word(1), lead).alias("before"), value.alias("value"))
+    return found.where(F.col("value").rlike("[0-9]") | F.col("value").rlike(PREFIXES) | F.lower("before").rlike("|".join(NAMES)))
 
 
 def labelled_findings(spark: SparkSession, each: int = 400) -> DataFrame:

@@ -200,3 +200,21 @@ def test_planted_secrets_are_found(spark):
     clean = secretscan.redacted(spark.createDataFrame(texts, "doc_id long, text string"))
     held = {r.doc_id: r.text for r in clean.collect()}
     assert key not in held[1] + held[8] and held[3] == texts[2][1] and held[5] is None
+
+
+def test_secrets_inside_words_are_candidates(spark):
+    token, key, bare = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "ghp_" + "Zk3Q9xLw7TbV2mNc8RfY5sHd1GjP6uKa4EoX", "AKIA" + "QBZXLMKDRDWLFRTB"
+    texts = [
+        (1, f'my token = "{token}"### next'),
+        (2, f'{{"token":"{key}","user":"a"}}'),
+        (3, f"see https://api.widgets.org/v1/list?api_key={token}&v=1 now"),
+        (4, f"password={token};secret={key}|x"),
+        (5, f"aws_access_key_id={bare}, the key"),
+        (6, "a" * 17 + "," + ",".join(f"{k:020d}" for k in range(500)) + "-"),
+    ]
+    out = secretscan.candidates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.value) for r in out if r.doc_id < 6 and r.value in (token, key, bare)} == {(1, token), (2, key), (3, token), (4, token), (4, key), (5, bare)}
+    assert sorted(r.value for r in out if r.doc_id == 6)[:500] == [f"{k:020d}" for k in range(499)] + [f"{499:020d}-"]
+    assert all(r.before.endswith(("token = \"", "\"token\":\"", "api_key=", "password=", "secret=", "aws_access_key_id=")) for r in out if r.value in (token, key, bare))
+    found = secretscan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.value) for r in found if r.secret and r.doc_id < 6} >= {(1, token), (2, key), (3, token), (4, token), (4, key), (5, bare)}
