@@ -218,3 +218,24 @@ def test_secrets_inside_words_are_candidates(spark):
     assert all(r.before.endswith(("token = \"", "\"token\":\"", "api_key=", "password=", "secret=", "aws_access_key_id=")) for r in out if r.value in (token, key, bare))
     found = secretscan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.value) for r in found if r.secret and r.doc_id < 6} >= {(1, token), (2, key), (3, token), (4, token), (4, key), (5, bare)}
+
+
+def unequal(spark, lengths):
+    """(table, vectors by id) of the small table's directions with other lengths."""
+    few = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = {r.vec_id: np.array(r.embedding, float) * lengths[k % len(lengths)] for k, r in enumerate(few)}
+    return spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "vec_id long, embedding array<double>"), x
+
+
+def recall(table, x, k=20):
+    got = {}
+    for r in neighbours.nearest(table.where("vec_id % 20 = 0"), table, k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    wanted = {q: {i for _, i in sorted((-float(x[q] @ v), i) for i, v in x.items() if i != q)[:k]} for q in x if q % 20 == 0}
+    return sum(len(wanted[q] & got.get(q, set())) for q in wanted) / sum(map(len, wanted.values()))
+
+
+def test_neighbours_recall_of_unequal_lengths(spark):
+    rng = np.random.default_rng(3)
+    assert recall(*unequal(spark, [100.0] + [1.0] * 10_000)) >= 0.9
+    assert recall(*unequal(spark, np.exp(rng.standard_normal(10_000)))) >= 0.9
