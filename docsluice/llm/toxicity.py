@@ -6,9 +6,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -17,10 +19,6 @@ from docsluice.llm._common import least_by_hash, sent_if_small, small_batches
 
 #: Labelled examples of each class in the index, the least by hash of doc_id; their whole texts count.
 EXAMPLES = 2000
-#: Terms of the index at most: those that tell the classes apart best.
-TERMS = 1024
-#: A term's chi-squared statistic and its lift of the toxic rate, at least; labelled documents that have it, at least.
-CHI2, LIFT, SEEN = 15.0, 2.5, 3
 NEAREST = 15
 BLOCK = 128
 #: Rows of labels that are sent to every executor at most; beyond, documents and labels are shuffled.
@@ -34,6 +32,13 @@ def term_counts(text: str | None, terms: dict[str, int]) -> Counter:
     return found
 
 
+def spans(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges from starts to ends, one after the other, and with each its range's value."""
+    many = ends - starts
+    offset = np.repeat(starts - (np.cumsum(many) - many), many)
+    return offset + np.arange(len(offset)), np.repeat(values, many)
+
+
 class Index:
     """Unit TF-IDF vectors of the examples as postings by (term, block of examples), with each posting list's maximum."""
 
@@ -43,17 +48,21 @@ class Index:
         self.labels = np.array([e[1] for e in examples], np.int8)
         self.weights = np.array(weights)[self.labels] if len(examples) else np.zeros(0)
         self.blocks = max(1, -(-len(examples) // BLOCK))
-        by: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.blank = np.ones(len(examples), bool)
         self.vectors = [self.vector(e[2]) for e in examples]
-        for k, (at, values) in enumerate(self.vectors):
-            self.blank[k] = not len(at)
-            for t, v in zip(at.tolist(), values.tolist(), strict=True):
-                by.setdefault((t, k // BLOCK), []).append((k, v))
-        self.postings = {key: (np.array([p[0] for p in ps]), np.array([p[1] for p in ps])) for key, ps in by.items()}
-        self.most = np.zeros((len(terms), self.blocks))
-        for (t, b), (_, values) in self.postings.items():
-            self.most[t, b] = values.max()
+        self.blank = np.array([not len(at) for at, _ in self.vectors], bool)
+        term = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in self.vectors]])
+        owner = np.repeat(np.arange(len(examples)), np.array([len(at) for at, _ in self.vectors], np.int64))
+        order = np.lexsort((owner, term))
+        term, self.owner = term[order], owner[order]
+        self.of_term = np.searchsorted(term, np.arange(len(terms) + 1))
+        self.held = np.concatenate([np.zeros(0), *[values for _, values in self.vectors]])[order]
+        # a posting list is the examples of one block that have a term; the lists of a term stand together
+        lists = term * self.blocks + self.owner // BLOCK
+        self.starts = np.nonzero(np.diff(lists, prepend=-1))[0]
+        self.ends = np.append(self.starts[1:], len(lists))[: len(self.starts)]
+        self.of_block = lists[self.starts] % self.blocks
+        self.most = np.maximum.reduceat(self.held, self.starts) if len(self.starts) else np.zeros(0)
+        self.first = np.searchsorted(term[self.starts], np.arange(len(terms) + 1))
         w, y = self.weights[self.blank], self.labels[self.blank]
         total = float(self.weights.sum()) or 1.0
         self.base = float((self.weights * self.labels).sum()) / total
@@ -61,34 +70,48 @@ class Index:
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
         self.known: dict = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": []}  # the postings have them
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
-        values = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in at.tolist()])
+        values = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.idf[at]
         norm = math.sqrt(float((values * values).sum()))
         return at, values / norm if norm else values
 
     def nearest(self, at: np.ndarray, values: np.ndarray, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of largest cosine, exactly: a block is read unless its bound is below the k-th best so far."""
-        bound = values @ self.most[at]
+        """Examples of largest cosine, exactly: the blocks of largest bounds are read, and then those that are not below the k-th best."""
+        lists, v = spans(self.first[at], self.first[at + 1], values)
+        block = self.of_block[lists]
+        bound = np.bincount(block, v * self.most[lists], self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, v in zip(at.tolist(), values.tolist(), strict=True):
-                if (found := self.postings.get((t, b))) is not None:
-                    sums[found[0] - b * BLOCK] += v * found[1]
-            here = np.nonzero(sums)[0]
-            ids, scores = np.concatenate([best_at, here + b * BLOCK]), np.concatenate([best, sums[here]])
-            scores, ids = scores[ids != without], ids[ids != without]
-            order = np.lexsort((ids, -scores))[:k]
-            best_at, best = ids[order], scores[order]
+        order = np.argsort(-bound, kind="stable")
+        for blocks in (order[: -(-self.blocks // 8)], order[-(-self.blocks // 8) :]):
+            read = np.zeros(self.blocks, bool)
+            read[blocks] = (bound[blocks] > 0) & (len(best) < k or bound[blocks] >= best[-1] - 1e-12)
+            if 2 * read.sum() > self.blocks:  # all lists of a term at once, those that are read already too
+                ranges = list(zip(self.of_term[at].tolist(), self.of_term[at + 1].tolist(), strict=True))
+                owner, held = (np.concatenate([x[i:j] for i, j in ranges]) for x in (self.owner, self.held))
+                w = np.repeat(values, self.of_term[at + 1] - self.of_term[at])
+                best_at, best = best_at[:0], best[:0]
+            else:
+                here = read[block]
+                postings, w = spans(self.starts[lists[here]], self.ends[lists[here]], v[here])
+                owner, held = self.owner[postings], self.held[postings]
+            sums = np.bincount(owner, w * held, len(self.ids))
+            found = np.nonzero(sums)[0]
+            found = found[found != without]
+            if len(found) > k:
+                found = found[sums[found] >= np.partition(sums[found], -k)[-k]]
+            ids, scores = np.concatenate([best_at, found]), np.concatenate([best, sums[found]])
+            top = np.lexsort((ids, -scores))[:k]
+            best_at, best = ids[top], scores[top]
         return best_at, best
 
     def raw(self, counts: dict[int, int], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         if not counts:
             return self.blank_rate, np.zeros(0, np.int64), np.zeros(0)
-        key = (tuple(sorted(counts.items())), without)
+        key = (blake2b(np.array(sorted(counts.items()), np.int64).tobytes(), digest_size=16).digest(), without)
         if (found := self.known.get(key)) is None:
             at, sims = self.nearest(*self.vector(counts), without)
             w = sims * sims * self.weights[at]
@@ -119,12 +142,13 @@ class Index:
         return min(1.0, max(0.0, vote)), at, sims
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """An index from documents (doc_id, text) and labels (doc_id, toxic).
 
-    Counts of terms cover all labelled documents. Terms are those whose presence goes with the label toxic (CHI2 and
-    LIFT); the index holds `examples` documents of each class at most. A label without a document, and a null label,
-    say nothing. What reaches the driver: `terms` rows, and for 2 * examples documents their counts of these terms.
+    The index holds `examples` documents of each class at most, with all their words. A word weighs its inverse
+    document frequency times the size of its correlation with the label toxic, both over all labelled documents, so
+    that none is left out whatever the share of toxic ones. A label without a document, and a null label, say nothing.
+    What reaches the driver: for 2 * examples documents their words with counts, and a row for each of these words.
     """
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("tx_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     train = docs.select("doc_id", "text").join(sent_if_small(known, SENT), F.col("doc_id") == F.col("tx_id")).drop("tx_id")
@@ -134,25 +158,32 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         out = Index([], np.zeros(0), [], (1.0, 1.0))
         out.blank_rate = out.base = 1.0 if n1 else 0.0
         return out
-    has = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where("term <> ''")
-    seen = has.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= SEEN)
-    a, df, all_ = F.col("a").cast("double"), F.col("df").cast("double"), float(n1 + n0)
-    gap = a * all_ - df * n1
-    seen = seen.withColumn("chi2", gap * gap * all_ / (df * (all_ - df) * n1 * n0)).withColumn("lift", a / df / (n1 / all_))
-    best = seen.where((F.col("chi2") >= CHI2) & (F.col("lift") >= LIFT)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    names = [r["term"] for r in best]
-    idf = np.array([math.log((1 + all_) / (1 + r["df"])) + 1 for r in best])
-    index = {t: k for k, t in enumerate(names)}
     picked = least_by_hash(train, "toxic", {0: n0, 1: n1}, examples).select("doc_id", "toxic", "text")
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [term_counts(x, index) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "n"])
-
-    rows = sorted(picked.mapInArrow(count, "doc_id long, toxic int, t array<int>, n array<int>").collect(), key=lambda r: (r["doc_id"], r["toxic"], str(r["t"])))
-    got = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"], strict=True))) for r in rows]
+            found = [Counter(WORD.findall(x.lower())) if x else {} for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "n"])
+
+    rows = picked.mapInArrow(count, "doc_id long, toxic int, t array<string>, n array<int>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    flat = pc.list_flatten(rows["t"]).combine_chunks().dictionary_encode()
+    names, code, times = flat.dictionary, flat.indices.to_numpy(), pc.list_flatten(rows["n"]).to_numpy()
+    sizes, toxic = pc.list_value_length(rows["t"]).to_numpy(), rows["toxic"].to_numpy()
+    # of the examples alone, until the counts of all labelled documents are there
+    df = np.bincount(code, minlength=len(names)).astype(float)
+    a = np.bincount(code, np.repeat(toxic, sizes), minlength=len(names))
+    wanted = sent_if_small(docs.sparkSession.createDataFrame(pa.table({"term": names})), SENT)
+    has = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where("term <> ''").join(wanted, "term", "left_semi")
+    seen = has.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("df")).toArrow()
+    at = pc.index_in(seen["term"], names).to_numpy()
+    a[at], df[at] = seen["a"].to_numpy(), seen["df"].to_numpy()
+    all_ = float(n1 + n0)
+    together = np.abs(a * all_ - df * n1) / np.sqrt(df * np.maximum(1, all_ - df) * n1 * n0)
+    idf = (np.log((1 + all_) / (1 + df)) + 1) * together
+    ends = np.cumsum(sizes)
+    got = [(d, y, dict(zip(code[e - m : e].tolist(), times[e - m : e].tolist(), strict=True))) for d, y, m, e in zip(rows["doc_id"].to_pylist(), toxic.tolist(), sizes, ends, strict=True)]
+    names = names.to_pylist()
     have = Counter(g[1] for g in got)
     out = Index(names, idf, got, (n0 / max(1, have[0]), n1 / max(1, have[1])))
     out.calibrate(got)
@@ -166,7 +197,7 @@ def score(docs: DataFrame, index: Index, evidence: bool = False) -> DataFrame:
     """docs (with a column text) with score and predicted; with `evidence` also the nearest examples and the terms found.
 
     score is the calibrated share of toxic votes of the NEAREST examples, each weighing its squared cosine. A text
-    without terms of the index, an empty or a null one, gets the toxic rate of such examples. Ties in the cosine go to
+    without words of the index, an empty or a null one, gets the toxic rate of such examples. Ties in the cosine go to
     the example of smaller doc_id. Without examples of both classes the score is 1 or 0 like the only class, or 0.
     Whole texts are read. Columns named like results are replaced.
     """
@@ -174,7 +205,7 @@ def score(docs: DataFrame, index: Index, evidence: bool = False) -> DataFrame:
     docs = docs.drop(*[m[0] for m in more])
     small_batches(docs.sparkSession)
     at_text = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value

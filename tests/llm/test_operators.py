@@ -239,3 +239,17 @@ def test_neighbours_recall_of_unequal_lengths(spark):
     rng = np.random.default_rng(3)
     assert recall(*unequal(spark, [100.0] + [1.0] * 10_000)) >= 0.9
     assert recall(*unequal(spark, np.exp(rng.standard_normal(10_000)))) >= 0.9
+
+
+def test_toxicity_of_even_labels_and_rare_words(spark):
+    rng = np.random.default_rng(7)
+    plain = lambda: " ".join(f"word{k}" for k in rng.integers(0, 40, 12))
+    texts = [(k, plain() + (f" vile{k % 20} foul{k % 7}" if k % 2 else f" kind{k % 20} calm{k % 7}"), k % 2) for k in range(240)]
+    texts += [(1000, "scoundrelry unheardof", 1), (1001, "meadow larksong", 0)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    index = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert set(index.names) == {w for _, t, _ in texts for w in t.split()}
+    held = [(k, plain() + (f" vile{k % 20} foul{k % 7}" if k % 2 else f" kind{k % 20} calm{k % 7}"), k % 2) for k in range(2000, 2040)]
+    held += [(3000, "such scoundrelry", 1), (3001, "a larksong", 0)]
+    out = toxicity.score(spark.createDataFrame(held, "doc_id long, text string, toxic int"), index).collect()
+    assert all(r.predicted == r.toxic for r in out)
