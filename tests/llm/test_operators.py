@@ -253,3 +253,11 @@ def test_toxicity_of_even_labels_and_rare_words(spark):
     held += [(3000, "such scoundrelry", 1), (3001, "a larksong", 0)]
     out = toxicity.score(spark.createDataFrame(held, "doc_id long, text string, toxic int"), index).collect()
     assert all(r.predicted == r.toxic for r in out)
+
+
+def test_neighbours_of_repeated_ids(spark):
+    table, x = unequal(spark, [1.0])
+    near = neighbours.nearest(table.where("vec_id = 0"), table, 1).first().vec_id
+    copies = table.where(f"vec_id = {near}").crossJoin(spark.range(70)).select("vec_id", F.transform("embedding", lambda v: v * (1 + F.col("id") / 1e6)).alias("embedding"))
+    out = [r.vec_id for r in neighbours.nearest(table.where("vec_id = 0"), table.unionByName(copies), 20).collect()]
+    assert len(out) == len(set(out)) == 20
