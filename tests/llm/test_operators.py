@@ -261,3 +261,11 @@ def test_neighbours_of_repeated_ids(spark):
     copies = table.where(f"vec_id = {near}").crossJoin(spark.range(70)).select("vec_id", F.transform("embedding", lambda v: v * (1 + F.col("id") / 1e6)).alias("embedding"))
     out = [r.vec_id for r in neighbours.nearest(table.where("vec_id = 0"), table.unionByName(copies), 20).collect()]
     assert len(out) == len(set(out)) == 20
+
+
+def test_neighbours_of_small_tables_are_whole(spark):
+    table, x = unequal(spark, [1.0])
+    few = table.where("vec_id < 15")
+    out = neighbours.nearest(table.where("vec_id in (0, 100)"), few, 20).collect()
+    got = {q: [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    assert got == {q: [i for _, i in sorted((-float(x[q] @ x[i]), i) for i in range(15) if i != q)] for q in (0, 100)}
