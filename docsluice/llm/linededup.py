@@ -36,6 +36,11 @@ def _prefix(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
+def _joins(n: Column, percent: int) -> Column:
+    """Whether a set of n tokens can be similar to one that is not equal: at best that has one token more."""
+    return n * (100 - percent) >= percent
+
+
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b) of postings (token, set_id, n, at) that pass the length and positional filters."""
     a, b = (postings.select("token", F.col("set_id").alias(k), F.col("n").alias(f"{k}_n"), F.col("at").alias(f"{k}_at")) for k in "ab")
@@ -48,7 +53,7 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 def _matches(docs: DataFrame, sets: DataFrame, first: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): distinct sets of lines with 100 * intersection >= percent * union."""
-    spread = sets.where("n > 3").select("set_id", "n", F.posexplode("prefix").alias("at", "token"))
+    spread = sets.where(_joins(F.col("n"), percent)).select("set_id", "n", F.posexplode("prefix").alias("at", "token"))
     shared = spread.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("token")
     shared = sent_if_small(saved(shared, "shared"), SENT)
     postings = saved(spread.join(shared, "token").distinct(), "postings")
@@ -96,7 +101,7 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
     once = docs  # equal rows give equal lines, which count once below
     tokens = _token_sets(_lines(once), width)
     n = F.size("tokens")
-    sets = saved(tokens.select(*LINE, F.xxhash64("tokens").alias("set_id"), n.cast("int").alias("n"), F.when(n > 3, F.slice("tokens", F.lit(1), _prefix(n, percent))).alias("prefix")), "lines")
+    sets = saved(tokens.select(*LINE, F.xxhash64("tokens").alias("set_id"), n.cast("int").alias("n"), F.when(_joins(n, percent), F.slice("tokens", F.lit(1), _prefix(n, percent))).alias("prefix")), "lines")
     first = sets.groupBy("set_id").agg(F.min(F.struct(*LINE)).alias("f")).select("set_id", "f.*")
     first = saved(first, "first")
     match = _matches(docs, sets, first, width, percent)

@@ -269,3 +269,9 @@ def test_neighbours_of_small_tables_are_whole(spark):
     out = neighbours.nearest(table.where("vec_id in (0, 100)"), few, 20).collect()
     got = {q: [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
     assert got == {q: [i for _, i in sorted((-float(x[q] @ x[i]), i) for i in range(15) if i != q)] for q in (0, 100)}
+
+
+def test_short_lines_match_at_lower_percent(spark):
+    table = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s t")], "doc_id long, text string")
+    gone = lambda percent: {r.doc_id for r in linededup.repeated_lines(table, percent=percent).where("n_removed > 0").collect()}
+    assert gone(75) == {2} and gone(80) == set()
