@@ -106,9 +106,29 @@ def compare(op: str, a: Val, b: Val) -> Val:
     return Val(out, T.BooleanType())
 
 
-def positive_filter(op: str, a: Val, b: Val) -> Column | None:
-    """A conjunct of the same comparison that a scan understands, where one side is a literal: rows it drops fail anyway."""
-    return None
+def filtering(op: str, a: Val, b: Val, finite: bool = False) -> list[Column] | None:
+    """The same comparison as conjuncts of a filter, which drops what is null: in the plain form that reaches a scan.
+
+    One side has to be a literal that is a number, a string or a boolean; else there is no such form. `finite` says
+    that columns hold no NaN, which is below all numbers here and above them in Spark.
+    """
+    if op not in ("==", "!=", "<", "<=", ">", ">=") or not comparable(a, b):
+        return None
+    if getattr(a, "literal", None) is not None:
+        a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+    value = getattr(b, "literal", None)
+    if value is None or value != value or isinstance(a.type, T.NullType):
+        return None
+    x, y = a.column, b.column
+    if op == "==":
+        return [x == y]
+    if op == "!=":
+        return [~x.eqNullSafe(y)]
+    nan = a.float and not finite
+    if op in (">", ">="):
+        return [x > y if op == ">" else x >= y, *([~F.isnan(x)] if nan else [])]
+    less = (x < y if op == "<" else x <= y) | x.isNull()
+    return [less | F.isnan(x) if nan else less]
 
 
 def add(a: Val, b: Val) -> Val:
@@ -138,10 +158,21 @@ def wider(a: Val, b: Val) -> T.DataType:
     return T.LongType()
 
 
+def required(v: Val, what: str) -> Val:
+    """v, or an error where it is null."""
+    if getattr(v, "literal", None) is not None:
+        return v
+    out = Val(F.when(v.column.isNull(), F.raise_error(F.lit(f"null (null) {what}")).cast(v.type)).otherwise(v.column), v.type)
+    out.items = getattr(v, "items", None)
+    return out
+
+
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     if op == "+":
         return add(a, b)
     if a.numeric and b.numeric:
+        what = {"-": "cannot be subtracted", "*": "cannot be multiplied", "/": "cannot be divided", "%": "cannot be divided"}[op]
+        a, b = required(a, what), required(b, what)
         if op == "/":
             return Val(a.column.cast("double") / b.column.cast("double"), T.DoubleType())
         if op == "%":
@@ -153,7 +184,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         return Val(split(a.column, b.column), T.ArrayType(T.StringType()))
     if op == "*" and isinstance(a.type, T.StringType) and b.numeric:
         n = b.column.cast("double")
-        return Val(F.when(n >= 0, F.expr("repeat({a}, {n})") if False else F.repeat(a.column, F.when((n > 0) & (n < 1), 1).otherwise(F.floor(n)).cast("int"))), a.type)
+        return Val(F.when(n >= 0, F.repeat(a.column, F.when((n > 0) & (n < 1), 1).otherwise(F.floor(n)).cast("int"))), a.type)
     raise Unsupported(f"{op} of these kinds")
 
 
@@ -170,7 +201,7 @@ def text_of(v: Val) -> Column:
         return v.column
     if v.float:
         c = v.column
-        return F.when(c.isNull(), "null").when((c == F.floor(c)) & (F.abs(c) < 1e15), F.floor(c).cast("string")).otherwise(c.cast("string"))
+        return F.when(c.isNull() | F.isnan(c), "null").when((F.abs(c) < 1e15) & (c == F.floor(c)), F.floor(c).cast("string")).otherwise(double_text(c.cast("double")))
     if isinstance(v.type, T.NullType):
         return F.lit("null")
     if isinstance(v.type, (T.StructType, T.ArrayType, T.MapType)):
@@ -180,6 +211,21 @@ def text_of(v: Val) -> Column:
     return F.coalesce(v.column.cast("string"), F.lit("null"))
 
 
+def double_text(c: Column) -> Column:
+    """A double as the language writes it: its shortest digits, with an exponent below 1e-5 and from 1e17 on."""
+    c = F.when(c == float("inf"), F.lit(1.7976931348623157e308)).when(c == float("-inf"), F.lit(-1.7976931348623157e308)).otherwise(c)
+    text = c.cast("string")
+    sign, plain = F.when(c < 0, "-").otherwise(""), F.replace(text, F.lit("-"), F.lit(""))
+    # Java writes an exponent below 1e-3 and from 1e7 on
+    power = F.when(F.contains(text, F.lit("E")), F.split_part(text, F.lit("E"), F.lit(2))).otherwise("0").cast("int")
+    mantissa = F.regexp_replace(F.split_part(plain, F.lit("E"), F.lit(1)), r"\.0$", "")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.concat(F.substr(F.rpad(digits, 18, "0"), F.lit(1), power + 1), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substr(digits, power + 2))).otherwise(""))
+    exponent = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).otherwise(F.concat(sign, F.when((power < 0) & (power >= -5), small).when((power >= 0) & (power < 17), whole).otherwise(exponent)))
+
+
 DOUBLE, LONG, TEXT, BOOL = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType()
 
 
@@ -187,7 +233,7 @@ def _double(f: Callable[[Column], Column]) -> Callable[[Val], Val]:
     def run(v: Val) -> Val:
         if not v.numeric:
             raise Unsupported("a number required")
-        return Val(f(v.column.cast("double")), DOUBLE)
+        return Val(f(required(v, "number required").column.cast("double")), DOUBLE)
 
     return run
 
@@ -196,7 +242,7 @@ def _long(f: Callable[[Column], Column]) -> Callable[[Val], Val]:
     def run(v: Val) -> Val:
         if not v.numeric:
             raise Unsupported("a number required")
-        return Val(f(v.column).cast("long"), LONG)
+        return Val(f(required(v, "number required").column).cast("long"), LONG)
 
     return run
 
@@ -205,6 +251,7 @@ def _text(f: Callable[..., Column], t: T.DataType = TEXT) -> Callable[..., Val]:
     def run(v: Val, *args: Val) -> Val:
         if not isinstance(v.type, T.StringType):
             raise Unsupported("a string required")
+        v = required(v, "is not a string")
         return Val(f(v.column, *[a.column for a in args]), t)
 
     return run
@@ -241,10 +288,42 @@ def kind_of(t: T.DataType) -> str:
     raise Unsupported(str(t))
 
 
-def _seconds(v: Val) -> Column:
-    if isinstance(v.type, T.TimestampNTZType):
-        return F.unix_micros(F.to_timestamp_ltz(F.date_format(v.column, "yyyy-MM-dd HH:mm:ss.SSSSSS"))) / 1e6 if False else (F.unix_seconds(v.column.cast("timestamp")))
-    return v.column
+def _ordered(v: Val) -> Column:
+    """The elements of an array in the language's order."""
+    t = v.type.elementType
+    if not isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.sort_array(v.column)
+    pairs = F.transform(v.column, lambda x: F.struct(order_key(Val(x, t)).alias("k"), x.alias("x")))
+    return F.transform(F.array_sort(pairs), lambda s: s["x"])
+
+
+def _of_array(f: Callable[[Val], Column], inner: bool = False) -> Callable[[Val], Val]:
+    def run(v: Val) -> Val:
+        if not isinstance(v.type, T.ArrayType):
+            raise Unsupported("an array required")
+        return Val(f(v), v.type.elementType if inner else v.type)
+
+    return run
+
+
+def _unique(v: Val) -> Column:
+    # NaN equals nothing, itself included
+    t = v.type.elementType
+    if not isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.sort_array(F.array_distinct(v.column))
+    return _ordered(Val(F.concat(F.filter(v.column, lambda x: F.isnan(x)), F.array_distinct(F.filter(v.column, lambda x: ~F.coalesce(F.isnan(x), F.lit(False))))), v.type))
+
+
+def _flat(v: Val) -> Val:
+    while isinstance(v.type, T.ArrayType) and isinstance(v.type.elementType, T.ArrayType):
+        v = Val(F.flatten(v.column), v.type.elementType)
+    if not isinstance(v.type, T.ArrayType):
+        raise Unsupported("an array required")
+    return v
+
+
+def _boolean(c: Column) -> Column:
+    return F.when(c == "true", True).when(c == "false", False).otherwise(F.raise_error(F.concat(F.lit("cannot be parsed as a boolean: "), c)).cast("boolean"))
 
 
 #: Functions without arguments, by name.
@@ -267,9 +346,9 @@ PLAIN: dict[str, Callable[[Val], Val]] = {
     "base64url_decode": _text(lambda c: F.decode(F.unbase64(F.translate(c, "-_", "+/")), "UTF-8")),
     "todate": lambda v: Val(F.date_format(F.timestamp_seconds(F.floor(v.column)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), TEXT), "todateiso8601": lambda v: PLAIN["todate"](v), "fromdate": _text(lambda c: F.unix_seconds(F.to_timestamp(c, "yyyy-MM-dd'T'HH:mm:ssX")), LONG),
     "fromdateiso8601": lambda v: PLAIN["fromdate"](v), "gmtime": _gmtime, "first": lambda v: Val(F.get(v.column, 0), v.type.elementType), "last": lambda v: Val(F.try_element_at(v.column, F.lit(-1)), v.type.elementType),
-    "reverse": lambda v: Val(F.reverse(v.column), v.type), "sort": lambda v: Val(F.sort_array(v.column), v.type), "unique": lambda v: Val(F.sort_array(F.array_distinct(v.column)), v.type), "min": lambda v: Val(F.array_min(v.column), v.type.elementType),
-    "max": lambda v: Val(F.array_max(v.column), v.type.elementType), "flatten": lambda v: Val(F.flatten(v.column), v.type.elementType), "add": lambda v: fold_array(v), "keys": lambda v: keys(v), "toboolean": _text(lambda c: c == "true", BOOL),
-    "tonumber": lambda v: v if v.numeric else Val(v.column.cast("double"), DOUBLE), "ip_valid": _text(lambda c: c.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"), BOOL), "tojson": lambda v: Val(F.when(v.column.isNull(), "null").otherwise(F.to_json(F.struct(v.column.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.column.alias("v")))) - 6) if not isinstance(v.type, (T.StructType, T.ArrayType)) else F.to_json(v.column)), TEXT),
+    "reverse": lambda v: Val(F.reverse(v.column), v.type), "sort": _of_array(_ordered), "unique": _of_array(_unique), "min": _of_array(lambda v: F.get(_ordered(v), 0), True),
+    "max": _of_array(lambda v: F.try_element_at(_ordered(v), F.lit(-1)), True), "flatten": _flat, "add": lambda v: fold_array(v), "keys": lambda v: keys(v), "toboolean": lambda v: v if isinstance(v.type, T.BooleanType) else _text(_boolean, BOOL)(v),
+    "tonumber": lambda v: v if v.numeric else Val(v.column.cast("double"), DOUBLE), "tojson": lambda v: Val(F.when(v.column.isNull(), "null").otherwise(F.to_json(F.struct(v.column.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.column.alias("v")))) - 6) if not isinstance(v.type, (T.StructType, T.ArrayType)) else F.to_json(v.column)), TEXT),
 }
 
 
@@ -299,14 +378,34 @@ def _two(f: Callable[[Column, Column], Column]) -> Callable[[Val, Val, Val], Val
     return lambda v, a, b: Val(f(a.column.cast("double"), b.column.cast("double")), DOUBLE)
 
 
+def literal_of(v: Val) -> str:
+    found = getattr(v, "literal", None)
+    if not isinstance(found, str):
+        raise Unsupported("an argument that isn't a literal")
+    return found
+
+
+# fixed values: flags of the language and the same in Java's patterns
+FLAGS = {"g": "", "l": "", "s": "", "i": "i", "x": "x", "m": "s", "p": "s"}
+
+
+def flagged(pattern: Val, flags: Val) -> Val:
+    """A literal pattern with its flags written into it."""
+    text, flags_text = literal_of(pattern), "" if isinstance(flags.type, T.NullType) else literal_of(flags)
+    if any(f not in FLAGS for f in flags_text):
+        raise Unsupported(f"flags {flags_text}")
+    marks = "".join(sorted({FLAGS[f] for f in flags_text}))
+    return lit(f"(?{marks}){text}" if marks else text)
+
+
 #: Functions of evaluated arguments, by name and their number.
 WITH: dict[tuple[str, int], Callable[..., Val]] = {
     ("startswith", 1): _text(F.startswith, BOOL), ("endswith", 1): _text(F.endswith, BOOL), ("contains", 1): _text(F.contains, BOOL), ("inside", 1): _text(lambda c, n: F.contains(n, c), BOOL),
     ("ltrimstr", 1): _text(lambda c, p: F.when(F.startswith(c, p), F.substr(c, F.length(p) + 1)).otherwise(c)), ("rtrimstr", 1): _text(lambda c, p: F.when(F.endswith(c, p), F.left(c, F.length(c) - F.length(p))).otherwise(c)),
     ("trimstr", 1): lambda v, p: WITH["rtrimstr", 1](WITH["ltrimstr", 1](v, p), p), ("split", 1): _text(split, T.ArrayType(TEXT)), ("index", 1): _text(lambda c, n: F.nullif(F.position(n, c), F.lit(0)) - 1, T.IntegerType()),
-    ("rindex", 1): _text(lambda c, n: F.try_element_at(_indices(c, n), F.lit(-1)), T.IntegerType()), ("indices", 1): _text(_indices, T.ArrayType(T.IntegerType())), ("test", 1): _text(F.rlike, BOOL), ("test", 2): _text(lambda c, p, f: F.rlike(c, F.concat(F.lit("(?"), F.replace(f, F.lit("g"), F.lit("")), F.lit(")"), p)), BOOL),
-    ("gsub", 2): _text(lambda c, p, r: F.regexp_replace(c, p, r)), ("scan", 1): _text(lambda c, p: F.regexp_extract_all(c, p, F.lit(0)), T.ArrayType(TEXT)), ("splits", 1): _text(lambda c, p: F.split(c, p, -1), T.ArrayType(TEXT)), ("split", 2): _text(lambda c, p, f: F.split(c, p, -1), T.ArrayType(TEXT)),
-    ("join", 1): lambda v, s: Val(F.array_join(F.transform(v.column, lambda x: F.coalesce(x.cast("string"), F.lit(""))), s.column) if False else F.concat_ws(",", F.transform(v.column, lambda x: F.coalesce(x.cast("string"), F.lit("")))) if s is None else F.aggregate(F.transform(v.column, lambda x: F.coalesce(x.cast("string"), F.lit(""))), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, s.column, x)), lambda a: F.coalesce(a, F.lit(""))), TEXT),
+    ("rindex", 1): _text(lambda c, n: F.try_element_at(_indices(c, n), F.lit(-1)), T.IntegerType()), ("indices", 1): _text(_indices, T.ArrayType(T.IntegerType())), ("test", 1): _text(F.rlike, BOOL), ("test", 2): lambda v, p, f: _text(lambda c, q: F.rlike(c, q), BOOL)(v, flagged(p, f)),
+    ("gsub", 2): lambda v, p, r: _text(lambda c, q: F.regexp_replace(c, q, F.lit(literal_of(r).replace("\\", "\\\\").replace("$", "\\$"))))(v, p), ("split", 2): lambda v, p, f: _text(lambda c, q: F.split(c, q, -1), T.ArrayType(TEXT))(v, flagged(p, f)),
+    ("join", 1): lambda v, s: Val(F.aggregate(F.transform(v.column, lambda x: F.coalesce(text_of(Val(x, v.type.elementType)) if not isinstance(v.type.elementType, T.StringType) else x, F.lit(""))), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, s.column, x)), lambda a: F.coalesce(a, F.lit(""))), TEXT),
     ("pow", 2): _two(F.pow), ("atan2", 2): _two(F.atan2), ("hypot", 2): _two(F.hypot), ("fmod", 2): _two(lambda a, b: a % b), ("fmin", 2): _two(F.least), ("fmax", 2): _two(lambda a, b: F.greatest(F.nanvl(a, b), F.nanvl(b, a))), ("fdim", 2): _two(lambda a, b: F.greatest(a - b, F.lit(0.0))),
     ("copysign", 2): _two(lambda a, b: F.abs(a) * F.when(b < 0, -1.0).otherwise(1.0)), ("ldexp", 2): _two(lambda a, b: a * F.pow(F.lit(2.0), b)), ("scalb", 2): _two(lambda a, b: a * F.pow(F.lit(2.0), b)), ("scalbln", 2): _two(lambda a, b: a * F.pow(F.lit(2.0), b)),
     ("fma", 3): lambda v, a, b, c: Val(a.column.cast("double") * b.column.cast("double") + c.column.cast("double"), DOUBLE), ("log", 1): lambda v, b: Val(F.ln(v.column.cast("double")) / F.ln(b.column.cast("double")), DOUBLE),

@@ -9,6 +9,7 @@ sorted tables a top-k. What has no such form raises Unsupported.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -16,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsluice.functions.native import BOOL, DOUBLE, LONG, PLAIN, TEXT, WITH, Unsupported, Val, add, arithmetic, compare, formatted, kind_of, lit, obj, order_key, sort_columns, text_of, truthy
+from docsluice.functions.native import BOOL, DOUBLE, LONG, PLAIN, TEXT, WITH, Unsupported, Val, add, arithmetic, compare, filtering, formatted, kind_of, lit, obj, order_key, sort_columns, text_of, truthy
 from docsluice.lang.parser import Node, parse
 
 
+#: The beginning of a group that captures, in a pattern.
+GROUP = re.compile(r"(?<!\\)\((?!\?)|\(\?P?<(?![=!])")
+
+
 @dataclass
 class Rows:
     """Rows in an order: `order` are expressions that say which comes first. As a table they are one array."""
@@ -68,8 +73,8 @@ def rows_of_names(df: DataFrame, names: dict[str, str], r: Rows) -> Rows:
 
 
 class Compiler:
-    def __init__(self, tables: dict[str, DataFrame], order: dict[str, list[str]] | None = None):
-        self.tables, self.order, self.count = tables, order or {}, 0
+    def __init__(self, tables: dict[str, DataFrame], order: dict[str, list[str]] | None = None, finite: bool = False):
+        self.tables, self.order, self.count, self.finite = tables, order or {}, 0, finite
 
     # -- forms ----------------------------------------------------------------------------------------------------
     def run(self, node: Node, at, env: dict):
@@ -220,7 +225,7 @@ class Compiler:
         elem = left.elem if pattern else right.elem
         first, rest = self.split(body)
         if first[0] == "call" and first[1] == "select":
-            condition = truthy(self.expr(first[2][0], elem, inner, None))
+            condition = reduce(lambda a, b: a & b, self.conditions(first[2][0], elem, inner, None))
             df = left.df.join(right.df, condition, "inner")
         else:
             df, rest = left.df.crossJoin(right.df), body
@@ -308,7 +313,7 @@ class Compiler:
             raise Unsupported("a slice here")
         a, b = (x[1] if x and x[0] == "literal" else -x[1][1] if x and x[0] == "negate" else None for x in (start, end))
         if (a or 0) < 0 or (b or 0) < 0:
-            if a is not None and a < 0 and b is None:  # the last rows: the first of the reverse, turned around
+            if a is not None and a < 0 and b is None and r.order:  # the last rows: the first of the reverse, turned around
                 turned = replace(self.settled(r), order=self.reversed_order(r.order))
                 return replace(self.settled(replace(turned, bound=(0, -a))), order=r.order)
             raise Unsupported("negative bounds")
@@ -322,7 +327,8 @@ class Compiler:
         if r.bound is None:
             return r
         a, b = r.bound
-        df = r.df.orderBy(*[Sorted.column(o) for o in r.order])
+        # rows without an order come as they are read
+        df = r.df.orderBy(*[Sorted.column(o) for o in r.order]) if r.order else r.df
         if a:
             df = df.offset(a)
         if b is not None:
@@ -427,7 +433,7 @@ class Compiler:
     def _sets(self, env, at, f, g, how: str):
         a, b = (self.run(("pipe", x, ("call", "unique", ())) if x[0] != "identity" else x, at, env) for x in (f, g))
         left, right = a.df.select(a.elem.column.alias("value")), b.df.select(b.elem.column.alias("value"))
-        df = {"union": lambda: left.union(right).distinct(), "intersect": lambda: left.intersect(right), "except": lambda: left.exceptAll(right)}[how]()
+        df = {"union": lambda: left.union(right).distinct(), "intersect": lambda: left.intersect(right), "except": lambda: left.subtract(right)}[how]()
         val = Val(F.col("value"), a.elem.type)
         return Rows(df, val, [Sorted(val)])
 
@@ -463,10 +469,23 @@ class Compiler:
         if test[0] == "call" and test[1] == "IN" and len(test[2]) == 2:
             return self.among(at, env, self.expr(test[2][0], at.elem, env, None), test[2][1])
         holder = [at]
-        conditions = [truthy(self.expr(part, at.elem, env, holder)) for part in self.conjuncts(test)]
+        conditions = self.conditions(test, at.elem, env, holder)
         r = holder[0]
         return replace(r, df=reduce(lambda d, c: d.where(c), conditions, r.df))
 
+    def conditions(self, test: Node, elem: Val, env: dict, holder) -> list[Column]:
+        """The conjuncts of a filter: comparisons with literals in the form that a scan understands."""
+        out = []
+        for part in self.conjuncts(test):
+            plain = None
+            if part[0] == "binary":
+                plain = filtering(part[1], *[self.expr(x, elem, env, holder) for x in part[2:]], self.finite)
+            elif part[0] == "or":
+                sides = [self.conditions(x, elem, env, holder) for x in part[1:]]
+                plain = [reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, s) for s in sides])]
+            out += plain if plain is not None else [truthy(self.expr(part, elem, env, holder))]
+        return out
+
     def conjuncts(self, node: Node) -> list[Node]:
         return [*self.conjuncts(node[1]), *self.conjuncts(node[2])] if node[0] == "and" else [node]
 
@@ -480,6 +499,10 @@ class Compiler:
         side = inner.df.select(inner.elem.column.alias(name)).distinct()
         return replace(at, df=at.df.join(side, val.column.eqNullSafe(F.col(name)), "left_semi"))
 
+    def has_var(self, node) -> bool:
+        """Whether a node names one of the tables."""
+        return isinstance(node, (tuple, list)) and (len(node) == 2 and node[0] == "var" and node[1] in self.tables or any(self.has_var(x) for x in node))
+
     def has_table(self, node) -> bool:
         return isinstance(node, tuple) and (self.is_table(node) or any(self.has_table(x) for x in node))
 
@@ -795,6 +818,8 @@ class Compiler:
             a = e(node[1])
             return Val(-a.column, a.type)
         if kind == "try" and node[2] is None:
+            if not self.is_path(node[1]):
+                raise Unsupported("errors that are caught")
             return e(node[1])
         if kind == "object":
             return obj({self.key_text(k): e(x) for k, x in node[1]})
@@ -824,6 +849,10 @@ class Compiler:
             return self.called(node[1], node[2], v, env, holder)
         raise Unsupported(kind)
 
+    def is_path(self, node: Node) -> bool:
+        """Whether a node only looks up members of typed columns, which cannot fail."""
+        return node[0] in ("identity", "var") or node[0] == "index" and node[2][0] == "literal" and self.is_path(node[1])
+
     def key_text(self, k: Node) -> str:
         if k[0] != "literal":
             raise Unsupported("a key that isn't a literal")
@@ -838,11 +867,29 @@ class Compiler:
                 return self.transformed(base, rest, env)
             if parts[0][0] == "each":
                 return self.expr(parts[0][1], v, env, holder)
+        if len(parts) == 1 and (found := self.matches(parts[0], v, env, holder)) is not None:
+            return found
         vals = [self.expr(p, v, env, holder) for p in parts]
         out = Val(F.array(*[x.column for x in vals]) if len({kind_of(x.type) for x in vals}) == 1 else None, T.ArrayType(vals[0].type))
         out.items = vals
         return out
 
+    def matches(self, node: Node, v: Val, env: dict, holder) -> Val | None:
+        """All outputs of scan and splits as an array, where these are the last step."""
+        if node[0] == "pipe":
+            inner = self.matches(node[2], self.expr(node[1], v, env, holder), env, holder) if node[2][0] in ("call", "pipe") else None
+            return inner
+        if node[0] != "call" or node[1] not in ("scan", "splits") or len(node[2]) != 1 or node[2][0][0] != "literal":
+            return None
+        pattern = node[2][0][1]
+        if not isinstance(v.type, T.StringType) or not isinstance(pattern, str):
+            raise Unsupported("a string required")
+        if node[1] == "splits":
+            return Val(F.split(v.column, pattern, -1), T.ArrayType(TEXT))
+        if GROUP.search(pattern):
+            raise Unsupported("matches with groups")
+        return Val(F.regexp_extract_all(v.column, F.lit(pattern), F.lit(0)), T.ArrayType(TEXT))
+
     def transformed(self, base: Val, node: Node, env: dict) -> Val:
         """Each element of an array column, through steps with one output or none."""
         if not isinstance(base.type, T.ArrayType):
@@ -1022,13 +1069,87 @@ STATS = {
 __all__ = ["Compiler", "Unsupported", "compile_program", "sort_columns"]
 
 
-def compile_program(text: str, main: DataFrame | None = None, order: list[str] | None = None, sort: bool = False, tables: dict[str, DataFrame] | None = None, table_orders: dict[str, list[str]] | None = None) -> DataFrame:
+def _steps(node: Node) -> list[Node]:
+    return [*_steps(node[1]), *_steps(node[2])] if node[0] == "pipe" else [node]
+
+
+def _piped(steps: list[Node]) -> Node:
+    return reduce(lambda a, b: ("pipe", a, b), steps) if steps else ("identity",)
+
+
+def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str) -> DataFrame:
+    """The longest beginning of a program that has a plan, and the rest by the evaluator on each record or group."""
+    from docsluice.plans.records import over_groups, over_records
+
+    definitions = []
+    while tree[0] == "def":
+        definitions.append(tree[1])
+        tree = tree[2]
+    steps = _steps(tree)
+    # an iteration inside a path, as in .[].a, is a step of its own
+    steps = [part for s in steps for part in _unfolded(s)]
+    env = {f"{name}/{len(params)}": (params, body) for name, params, body in definitions}
+
+    def rest_of(cut: int) -> Node:
+        return reduce(lambda body, d: ("def", d, body), reversed(definitions), _piped(steps[cut:]))
+
+    for cut in range(len(steps) - 1, 0, -1):
+        if any(compiler.has_var(s) for s in steps[cut:]):
+            continue
+        try:
+            out = compiler.run(_piped(steps[:cut]), at, env)
+        except Unsupported:
+            continue
+        if isinstance(out, Rows) and not out.table:
+            r = compiler.settled(out)
+            return over_records(compiler.plain(r), rest_of(cut), schema, on_error, None if r.elem.fields is not None else "value")
+        first = steps[cut]
+        each = first == ("each", ("identity",))
+        if isinstance(out, Groups) and (each or first[0] == "call" and first[1] == "map"):
+            plain = out.rows.elem.fields
+            names = {k: n for k in range(len(out.keys)) for n, v in (plain or {}).items() if v is out.keys[k]}
+            order = [next((n for n, v in (plain or {}).items() if v.column is o or str(v.column) == str(o)), None) for o in out.rows.order]
+            if plain is None or len(names) < len(out.keys) or None in order:
+                raise Unsupported("groups by what is no column, or in another order")
+            inside = rest_of(cut + 1) if each else ("pipe", first[2][0], reduce(lambda body, d: ("def", d, body), reversed(definitions), _piped(steps[cut + 2 :])))
+            if not each and steps[cut + 1 : cut + 2] != [("each", ("identity",))]:
+                raise Unsupported("groups as one value")
+            return over_groups(compiler.plain(out.rows), list(names.values()), order, inside, schema, on_error)
+    raise Unsupported("no records to run this on")
+
+
+def _unfolded(step: Node) -> list[Node]:
+    """.[].a.b as .[] | .a.b"""
+    path, of = [], step
+    while of[0] == "index" and of[2][0] == "literal":
+        path.append(of[2])
+        of = of[1]
+    if of[0] == "each" and path:
+        return [of, reduce(lambda base, k: ("index", base, k), reversed(path), ("identity",))]
+    return [step]
+
+
+def compile_program(
+    text: str, main: DataFrame | None = None, order: list[str] | None = None, sort: bool = False, tables: dict[str, DataFrame] | None = None, table_orders: dict[str, list[str]] | None = None,
+    schema: str | None = None, on_error: str = "raise", finite: bool = False,
+) -> DataFrame:
     """The outputs of a program over tables, as a DataFrame: an object's members are its columns, anything else is `value`.
 
     `order` names the columns that put the main table in order, where the program depends on one; `table_orders`
     likewise for the other tables, which `tables` holds by name. With sort, the result is sorted as the program's output is; else its rows come as they do.
+    Where a program has no plan, the evaluator runs what is left of it on each record, or on the records of each
+    group, and its outputs become rows of `schema` (columns in DDL); without a schema that raises Unsupported.
+    `on_error` says what becomes of a record that it fails on: `raise`, `skip`, or `report` in a column `error`.
+    `finite` says that no column holds NaN, so that filters of doubles by `<` reach the scan too.
     """
     tables = tables or {}
-    compiler = Compiler(tables, table_orders)
+    compiler = Compiler(tables, table_orders, finite)
     at = rows_of(main, order) if main is not None else Rows(next(iter(tables.values())).limit(0), lit(None))
-    return compiler.result(compiler.run(parse(text), at, {}), sort)
+    tree = parse(text)
+    if schema is None or on_error == "raise":
+        try:
+            return compiler.result(compiler.run(tree, at, {}), sort)
+        except Unsupported:
+            if schema is None:
+                raise
+    return _lane(compiler, tree, at, schema, on_error)
