@@ -3,29 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsluice.families import FAMILIES, Query
 from docsluice.operators import windows
-from docsluice.plans.compiler import compile_program
-
-
-@dataclass(frozen=True)
-class Query:
-    """A program over the table `main` as `.`, in the order of columns `order`, with other tables as variables."""
-
-    main: str
-    program: str
-    sql: str | None
-    order: tuple[str, ...] = ()
-    others: tuple[str, ...] = ()
-
-    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return compile_program(self.program, read(self.main), list(self.order) or None, tables={n: read(n) for n in self.others})
-
+from docsluice.sources.tables import decoded, encoded
 
 FLAGSHIP = Query(
     "lineitem",
@@ -39,6 +23,7 @@ QUERIES: dict[str, Query] = {
         "lineitem",
         ".[] | select(.l_discount > 0.05 and .l_quantity < 24) | {l_orderkey, l_linenumber, l_quantity, l_discount}",
         "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_discount > 0.05 AND l_quantity < 24",
+        finite=True,
     ),
     "project_construct": Query("orders", ".[] | {key: .o_orderkey, double_price: (.o_totalprice * 2)}", "SELECT o_orderkey AS key, o_totalprice * 2 AS double_price FROM orders"),
     "alternative": Query(
@@ -103,6 +88,7 @@ QUERIES: dict[str, Query] = {
         "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000",
         (),
         ("customer",),
+        finite=True,
     ),
     "semi_any": Query(
         "customer",
@@ -243,13 +229,46 @@ def _window_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _out(WINDOWS[name][0](_events(spark, sf_dir)))
 
 
+#: Formats that each row is written in and read from again: how it is written, the format to read, and the program that gets the row back.
+FORMATS: dict[str, tuple[str, str, str, str]] = {
+    "json": (".", "json", "json", "."),
+    "jsonc": (".", "json", "jsonc", "."),
+    "json5": (".", "json", "json5", "."),
+    "ndjson": ("., {n_nationkey: -1}", "ndjson", "ndjson", "select(.n_nationkey >= 0)"),
+    "json_seq": (".", "json-seq", "json-seq", "."),
+    "yaml": (".", "yaml", "yaml", "."),
+    "toml": (".", "toml", "toml", "."),
+    "cbor": (".", "cbor", "cbor", "."),
+    "msgpack": (".", "msgpack", "msgpack", "."),
+    "csv": (".", "csv", "csv-header", ".n_nationkey |= tonumber | .n_regionkey |= tonumber"),
+    "tsv": (".", "tsv", "tsv-header", ".n_nationkey |= tonumber | .n_regionkey |= tonumber"),
+    "ini": (".", "ini", "ini", ".n_nationkey |= tonumber | .n_regionkey |= tonumber"),
+    "properties": (".", "properties", "properties", ".n_nationkey |= tonumber | .n_regionkey |= tonumber"),
+    "dotenv": (".", "dotenv", "dotenv", ".n_nationkey |= tonumber | .n_regionkey |= tonumber"),
+    "xml": ('{row: {"@n": .n_nationkey, "@r": .n_regionkey, "#text": .n_name}}', "xml", "xml", '.row | {n_nationkey: (.["@n"] | tonumber), n_regionkey: (.["@r"] | tonumber), n_name: .["#text"]}'),
+    "html": ('{p: {"@n": .n_nationkey, "@r": .n_regionkey, "#text": .n_name}}', "html", "html", '.html.body.p | {n_nationkey: (.["@n"] | tonumber), n_regionkey: (.["@r"] | tonumber), n_name: .["#text"]}'),
+    "lines": ('"\\(.n_nationkey) \\(.n_regionkey) \\(.n_name)"', "lines", "lines", 'split(" ") | {n_nationkey: (.[0] | tonumber), n_regionkey: (.[1] | tonumber), n_name: .[2]}'),
+}
+
+
+def _format_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    write, form, back, read = FORMATS[name]
+    schema = "n_nationkey int, n_name string, n_regionkey int"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        documents = encoded(spark.read.parquet(f"{sf_dir}/nation.parquet"), form, program=write)
+        return decoded(documents, "content", back, schema, read)
+
+    return run
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FLAGSHIP(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | {f"window_{name}": _window_query(name) for name in WINDOWS}
+    return QUERIES | FAMILIES | {f"window_{name}": _window_query(name) for name in WINDOWS} | {f"format_{name}": _format_query(name) for name in FORMATS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {f"window_{name}": _window_sql(name) for name in WINDOWS}
+    return {name: q.sql for name, q in (QUERIES | FAMILIES).items() if q.sql} | {f"window_{name}": _window_sql(name) for name in WINDOWS} | {f"format_{name}": "SELECT n_nationkey, n_name, n_regionkey FROM nation" for name in FORMATS}

@@ -25,6 +25,8 @@ class Val:
     @property
     def column(self) -> Column:
         if self._column is None:
+            if self.fields is None:
+                raise Unsupported("an array of different kinds")
             self._column = F.struct(*[v.column.alias(k) for k, v in self.fields.items()])
         return self._column
 
@@ -102,6 +104,8 @@ def compare(op: str, a: Val, b: Val) -> Val:
     more = x > y if op == ">" else x >= y
     if a.float:
         more = more & ~F.isnan(x)
+    if b.float:
+        more = more | (F.isnan(y) & x.isNotNull() & (~F.isnan(x) if a.float else F.lit(True)))
     out = F.coalesce(more, (x.isNotNull() if op == ">" else F.lit(True)) & y.isNull())
     return Val(out, T.BooleanType())
 

@@ -73,8 +73,13 @@ def rows_of_names(df: DataFrame, names: dict[str, str], r: Rows) -> Rows:
 
 
 class Compiler:
-    def __init__(self, tables: dict[str, DataFrame], order: dict[str, list[str]] | None = None, finite: bool = False):
-        self.tables, self.order, self.count, self.finite = tables, order or {}, 0, finite
+    def __init__(self, tables: dict[str, DataFrame], order: dict[str, list[str]] | None = None, finite: bool = False, endless: bool = False):
+        self.tables, self.order, self.count, self.finite, self.endless = tables, order or {}, 0, finite, endless
+
+    def need_end(self) -> None:
+        """Refuses what needs all records, where the main table is a stream."""
+        if self.endless:
+            raise Unsupported("a stream has no end: this needs all records")
 
     # -- forms ----------------------------------------------------------------------------------------------------
     def run(self, node: Node, at, env: dict):
@@ -280,11 +285,13 @@ class Compiler:
         return self.single(at, ("call", name, args), env)
 
     def single(self, at: Rows, node: Node, env: dict) -> Single:
+        self.need_end()
         val = self.aggregate(node, self.settled(at), env)
         return Single(self.settled(at).df.agg(val.column.alias("value")), Val(F.col("value"), val.type))
 
     def do_object(self, at, env, members):
         if isinstance(at, Rows) and at.table:
+            self.need_end()
             r = self.settled(at)
             vals = {k[1]: self.aggregate(v, r, env) for k, v in members}
             return Single(r.df.agg(*[v.column.alias(k) for k, v in vals.items()]), obj({k: Val(F.col(f"`{k}`"), v.type) for k, v in vals.items()}))
@@ -326,6 +333,7 @@ class Compiler:
         """Rows with their slice taken: sorted and limited, which Spark runs as a top-k."""
         if r.bound is None:
             return r
+        self.need_end()
         a, b = r.bound
         # rows without an order come as they are read
         df = r.df.orderBy(*[Sorted.column(o) for o in r.order]) if r.order else r.df
@@ -336,6 +344,7 @@ class Compiler:
         return replace(r, df=df, bound=None)
 
     def by(self, r: Rows, keys: list[Val], descending: bool = False) -> Rows:
+        self.need_end()
         r = self.settled(r)
         return replace(r, order=[Sorted(v) for v in keys] + list(r.order))
 
@@ -361,11 +370,13 @@ class Compiler:
         return replace(self.run(("pipe", ("each", ("identity",)), f), at, env), table=True)
 
     def table_group_by_1(self, at, env, key):
+        self.need_end()
         r = self.settled(at)
         nodes = self.commas(key[1]) if key[0] == "collect" else self.commas(key)
         return Groups(r, self.keys(key, r, env), nodes)
 
     def table_unique_by_1(self, at, env, key):
+        self.need_end()
         r = self.settled(at)
         keys = self.keys(key, r, env)
         if not r.order:
@@ -377,6 +388,7 @@ class Compiler:
         return replace(r, df=df, order=[Sorted(k) for k in keys])
 
     def table_unique_0(self, at, env):
+        self.need_end()
         r = self.settled(at)
         if r.elem.fields:
             names = list(r.elem.fields)
@@ -861,12 +873,11 @@ class Compiler:
     def array(self, node: Node, v: Val, env: dict, holder) -> Val:
         parts = self.commas(node)
         if len(parts) == 1 and parts[0][0] in ("each", "pipe", "index"):
-            first, rest = self.split(parts[0])
-            if first[0] == "each":
-                base = self.expr(first[1], v, env, holder)
-                return self.transformed(base, rest, env)
-            if parts[0][0] == "each":
-                return self.expr(parts[0][1], v, env, holder)
+            steps = [step for whole in _steps(parts[0]) for step in _unfolded(whole)]
+            at = next((k for k, step in enumerate(steps) if step[0] == "each"), None)
+            if at is not None:
+                base = self.expr(_piped([*steps[:at], steps[at][1]]), v, env, holder)
+                return self.transformed(base, _piped(steps[at + 1 :]), env)
         if len(parts) == 1 and (found := self.matches(parts[0], v, env, holder)) is not None:
             return found
         vals = [self.expr(p, v, env, holder) for p in parts]
@@ -1140,10 +1151,11 @@ def compile_program(
     Where a program has no plan, the evaluator runs what is left of it on each record, or on the records of each
     group, and its outputs become rows of `schema` (columns in DDL); without a schema that raises Unsupported.
     `on_error` says what becomes of a record that it fails on: `raise`, `skip`, or `report` in a column `error`.
+    Where the main table is a stream, what needs all of its records raises Unsupported.
     `finite` says that no column holds NaN, so that filters of doubles by `<` reach the scan too.
     """
     tables = tables or {}
-    compiler = Compiler(tables, table_orders, finite)
+    compiler = Compiler(tables, table_orders, finite, main is not None and main.isStreaming)
     at = rows_of(main, order) if main is not None else Rows(next(iter(tables.values())).limit(0), lit(None))
     tree = parse(text)
     if schema is None or on_error == "raise":
