@@ -75,7 +75,7 @@ def _quoted(b: bytes) -> str:
 
 coded("quoted_printable_encode", _quoted)
 decoded("quoted_printable_decode", quopri.decodestring)
-coded("gzip_compress", lambda b: base64.b64encode(gzip.compress(b, mtime=0)).decode())
+coded("gzip_compress", lambda b: base64.b64encode(gzip.compress(b, 6, mtime=0)).decode())
 decoded("gzip_decompress", lambda b: gzip.decompress(base64.b64decode(b)))
 coded("zlib_compress", lambda b: base64.b64encode(zlib.compress(b)).decode())
 decoded("zlib_decompress", lambda b: zlib.decompress(base64.b64decode(b)))

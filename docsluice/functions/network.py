@@ -91,7 +91,7 @@ def _(v):
 
 def _redacted(v, pattern, marker):
     if not isinstance(v, str):
-        raise Raised(f"{described(v)} cannot be redacted by a pattern")
+        return marker
     return re.sub(pattern, lambda _: marker, v)
 
 

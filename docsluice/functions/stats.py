@@ -53,6 +53,37 @@ def _(_, a, q):
     return tidy(quantile(xs, as_float(q))) if xs else None
 
 
+class Xoshiro(random.Random):
+    """The generator xoshiro256**, whose state SplitMix64 makes of a seed; without a seed, of the system's entropy."""
+
+    def __init__(self, seed=None):
+        super().__init__()
+        at = random.SystemRandom().getrandbits(64) if seed is None else seed % (1 << 64)
+        self.words = []
+        for _ in range(4):  # fixed values: the increment and the factors of SplitMix64
+            at = (at + 0x9E3779B97F4A7C15) % (1 << 64)
+            x = (at ^ at >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+            self.words.append(x ^ x >> 31)
+
+    def next(self):
+        turned = lambda x, n: (x << n | x >> 64 - n) % (1 << 64)
+        a, b, c, d = self.words
+        out = turned(b * 5 % (1 << 64), 7) * 9 % (1 << 64)
+        c, d = c ^ a, d ^ b
+        self.words = [a ^ d, b ^ c, c ^ (b << 17) % (1 << 64), turned(d, 45)]
+        return out
+
+    def random(self):
+        return (self.next() >> 11) / (1 << 53)
+
+    def getrandbits(self, k):
+        out = 0
+        for n in range(0, k, 64):
+            out |= self.next() << n
+        return out >> (-k % 64)
+
+
 @steps("rand")
 def _(env, v, path):
     yield env.run.random.random(), mark(path)
@@ -60,7 +91,7 @@ def _(env, v, path):
 
 @values("rand", arity=1)
 def _(v, seed):
-    return random.Random(whole(seed)).random()
+    return Xoshiro(whole(seed)).random()
 
 
 def between(rng, low, high):

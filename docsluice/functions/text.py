@@ -27,8 +27,8 @@ values("tostring")(to_text)
 def _(v):
     if kind(v) == "number":
         return v
-    if isinstance(v, str) and re.fullmatch(r"-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v):
-        return int(v) if re.fullmatch(r"-?\d+", v) else Decimal(v)
+    if isinstance(v, str) and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v):
+        return int(v) if re.fullmatch(r"[+-]?\d+", v) else Decimal(v)
     if isinstance(v, str) and v in ("nan", "-nan", "NaN"):
         return float("nan")
     raise Raised(f"{described(v)} cannot be parsed as a number")
