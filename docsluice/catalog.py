@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docsluice.families import FAMILIES, Query
 from docsluice.operators import windows
+from docsluice.operators.reshape import differences
 from docsluice.sources.tables import decoded, encoded
 
 FLAGSHIP = Query(
@@ -262,13 +263,28 @@ def _format_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def diff_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy with some rows gone, some new and some with another price."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    other = orders.where("o_orderkey % 10 <> 3").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    other = other.unionByName(orders.where("o_orderkey % 50 = 1").withColumn("o_orderkey", -F.col("o_orderkey")))
+    return differences(orders, other, ["o_orderkey"])
+
+
+DIFF_SQL = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o_orderkey % 10 = 3 THEN []::VARCHAR[] ELSE ['o_totalprice'] END AS fields
+FROM orders WHERE o_orderkey % 10 = 3 OR o_orderkey % 7 = 0
+UNION ALL SELECT -o_orderkey, 'added', []::VARCHAR[] FROM orders WHERE o_orderkey % 50 = 1
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FLAGSHIP(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | FAMILIES | {f"window_{name}": _window_query(name) for name in WINDOWS} | {f"format_{name}": _format_query(name) for name in FORMATS}
+    return QUERIES | FAMILIES | {"diff_tables": diff_tables} | {f"window_{name}": _window_query(name) for name in WINDOWS} | {f"format_{name}": _format_query(name) for name in FORMATS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in (QUERIES | FAMILIES).items() if q.sql} | {f"window_{name}": _window_sql(name) for name in WINDOWS} | {f"format_{name}": "SELECT n_nationkey, n_name, n_regionkey FROM nation" for name in FORMATS}
+    return {name: q.sql for name, q in (QUERIES | FAMILIES).items() if q.sql} | {"diff_tables": DIFF_SQL} | {f"window_{name}": _window_sql(name) for name in WINDOWS} | {f"format_{name}": "SELECT n_nationkey, n_name, n_regionkey FROM nation" for name in FORMATS}

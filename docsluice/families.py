@@ -223,4 +223,23 @@ FAMILIES: dict[str, Query] = {
         (),
         ("customer",),
     ),
+    "join_4": Query(
+        "orders",
+        "INDEX($customer[]; .c_custkey) as $ix | JOIN($ix; .[]; .o_custkey; {o_orderkey: .[0].o_orderkey, segment: .[1].c_mktsegment})",
+        "SELECT o_orderkey, c_mktsegment AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+        (),
+        ("customer",),
+    ),
+    "join_3": Query("orders", "INDEX($customer[]; .c_custkey) as $ix | JOIN($ix; .[]; .o_custkey) | {o_orderkey: .[0].o_orderkey, name: .[1].c_name}", "SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey", (), ("customer",)),
+    "join_2": Query("orders", "INDEX($customer[]; .c_custkey) as $ix | JOIN($ix; .o_custkey) | .[] | {o_orderkey: .[0].o_orderkey, name: .[1].c_name}", "SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey", (), ("customer",)),
+    "histogram_fold": Query("events", "reduce .[] as $e ({}; .[$e.event_type] += 1) | to_entries | .[]", "SELECT event_type AS key, count(*) AS value FROM events GROUP BY 1"),
+    "sums_by_key": Query("lineitem", "reduce .[] as $r ({}; .[$r.l_returnflag] += $r.l_quantity) | to_entries | map({flag: .key, total: .value}) | .[]", "SELECT l_returnflag AS flag, sum(l_quantity) AS total FROM lineitem GROUP BY 1"),
+    "native_moving_sum": Query("events", "group_by(.user_id) | .[] | moving_sum(3; .[].event_id) | {out: .}", "SELECT sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)::BIGINT AS out FROM events", ("ts", "event_id")),
+    "native_moving_avg": Query("events", "group_by(.user_id) | .[] | moving_avg(4; .[].event_id) | {out: (. * 1000 | round)}", "SELECT round(avg(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 3 PRECEDING) * 1000)::DOUBLE AS out FROM events", ("ts", "event_id")),
+    "native_moving_max": Query("events", "group_by(.user_id) | .[] | moving_max(3; .[].event_id) | {out: .}", "SELECT max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS out FROM events", ("ts", "event_id")),
+    "native_moving_min": Query("events", "group_by(.user_id) | .[] | moving_min(3; .[].event_id) | {out: .}", "SELECT min(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS out FROM events", ("ts", "event_id")),
+    "native_windows": Query("events", "group_by(.user_id) | .[] | windows(2; .[].event_id) | {n: length, out: add}", "SELECT count(*) OVER w AS n, sum(event_id) OVER w::BIGINT AS out FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING)", ("ts", "event_id")),
+    "native_lag": Query("events", "group_by(.user_id) | .[] | lag(.[].event_id) | {out: .}", "SELECT lag(event_id) OVER w AS out FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY row_number() OVER w > 1", ("ts", "event_id")),
+    "native_deltas": Query("events", "group_by(.user_id) | .[] | deltas(.[].event_id) | {out: .}", "SELECT event_id - lag(event_id) OVER w AS out FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY row_number() OVER w > 1", ("ts", "event_id")),
+    "native_counter": Query("events", "group_by(.user_id) | .[] | counter(.[].event_id) | {out: .}", "SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS out FROM events", ("ts", "event_id")),
 }

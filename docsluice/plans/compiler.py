@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsluice.functions.native import BOOL, DOUBLE, LONG, PLAIN, TEXT, WITH, Unsupported, Val, add, arithmetic, compare, filtering, formatted, kind_of, lit, obj, order_key, sort_columns, text_of, truthy
+from docsluice.functions.native import BOOL, DOUBLE, LONG, PLAIN, TEXT, WITH, Unsupported, Val, add, arithmetic, compare, filtering, formatted, kind_of, lit, obj, order_key, required, sort_columns, text_of, truthy
 from docsluice.lang.parser import Node, parse
 
 
@@ -44,6 +44,13 @@ class Groups:
     nodes: list[Node]
 
 
+@dataclass
+class Tally:
+    """An object whose members are sums by key: rows {key, value}."""
+
+    rows: Rows
+
+
 @dataclass
 class Single:
     df: DataFrame
@@ -87,6 +94,16 @@ class Compiler:
         step = getattr(self, f"do_{kind}", None)
         if isinstance(at, Single):
             return Single(at.df, self.expr(node, at.val, env, None))
+        if isinstance(at, Tally) and kind == "pipe":
+            return self.run(node[2], self.run(node[1], at, env), env)
+        if isinstance(at, Tally):
+            if node == ("call", "to_entries", ()):
+                return at.rows
+            if node == ("call", "length", ()):
+                return self.single(at.rows, node, env)
+            if node == ("identity",):
+                return at
+            raise Unsupported(f"{kind} of sums by key")
         if isinstance(at, Rows) and not at.table and kind not in ("pipe", "call", "bind", "def", "identity", "comma", "each", "var", "if_rows"):
             return self.mapped(at, node, env)
         if step is None:
@@ -273,9 +290,13 @@ class Compiler:
         if isinstance(at, Rows) and not at.table:
             special = getattr(self, f"stream_{name}_{len(args)}", None)
             return special(at, env, *args) if special else self.mapped(at, ("call", name, args), env)
+        if name == "JOIN":
+            return self.run(self.join_program(args), at, env)
         if isinstance(at, Groups):
             if name == "map":
                 return self.grouped(at, args[0], env)
+            if name in WINDOWS and (name, len(args)) in (*[(n, 2) for n in MOVING], ("lag", 1), ("deltas", 1), ("counter", 1)):
+                return self.windowed(at, name, args, env)
             if name == "length" and not args:
                 return self.summary(replace(at.rows, table=True), {"value": ("call", "count_groups", ())}, env, at)
             raise Unsupported(f"{name} of groups")
@@ -284,6 +305,32 @@ class Compiler:
             return special(at, env, *args)
         return self.single(at, ("call", name, args), env)
 
+    def join_program(self, args: tuple) -> Node:
+        """JOIN as the iteration that it is short for; the index has to be bound to a name."""
+        stream, key = (("each", ("identity",)), args[1]) if len(args) == 2 else (args[1], args[2])
+        pair: Node = ("collect", ("comma", ("identity",), ("index", args[0], ("pipe", key, ("call", "tostring", ())))))
+        out: Node = ("pipe", stream, pair if len(args) < 4 else ("pipe", pair, args[3]))
+        return ("collect", out) if len(args) == 2 else out
+
+    def windowed(self, g: Groups, name: str, args: tuple, env: dict) -> Rows:
+        """A window function over the rows of each group, in order: a value for each row, or for all but the first."""
+        inner = self.items_stream(args[-1], g.rows, env)
+        if inner is None or not g.rows.order or len(args) == 2 and not (args[0][0] == "literal" and isinstance(args[0][1], int) and args[0][1] > 0):
+            raise Unsupported("this window")
+        val, kept = inner
+        if val.float and name in ("moving_min", "moving_max") and not self.finite:
+            raise Unsupported("windows of what can be NaN")
+        if not val.numeric and name not in ("windows", "lag", "counter"):
+            raise Unsupported("windows of what is no number")
+        over = Window.partitionBy(*[order_key(k) for k in g.keys]).orderBy(*[Sorted.column(o) for o in g.rows.order])
+        frame = over.rowsBetween(1 - args[0][1], 0) if len(args) == 2 else over
+        self.count += 1
+        name_, place = f"_w{self.count}", f"_p{self.count}"
+        made, t = WINDOWS[name](val, frame)
+        df = (g.rows.df if kept is None else g.rows.df.where(kept)).withColumns({name_: made, place: F.row_number().over(over)})
+        df = df.where(F.col(place) > 1) if name in ("lag", "deltas") else df
+        return Rows(df, Val(F.col(name_), t), [*[Sorted(k) for k in g.keys], F.col(place)], False)
+
     def single(self, at: Rows, node: Node, env: dict) -> Single:
         self.need_end()
         val = self.aggregate(node, self.settled(at), env)
@@ -300,7 +347,29 @@ class Compiler:
     def do_binary(self, at, env, op, left, right):
         return self.single(at, ("binary", op, left, right), env)
 
+    def tally(self, at, env, source, patterns, start, update) -> Tally | None:
+        """reduce ... as $x ({}; .[key of $x] += number of $x): a sum for each key."""
+        empty = start == ("object", ()) or start == ("literal", {})
+        if not (isinstance(at, Rows) and at.table and empty and len(patterns) == 1 and update[0] == "assign" and update[1] == "+=" and update[2][0] == "index" and update[2][1] == ("identity",)):
+            return None
+        self.need_end()
+        r = self.settled(at)
+        inner = self.items_stream(source, r, env)
+        if inner is None:
+            return None
+        names = {**env, **self.names(patterns[0], inner[0])}
+        key, value = (self.expr(n, lit(None), names, None) for n in (update[2][2], update[3]))
+        if not isinstance(key.type, T.StringType) or not value.numeric:
+            raise Unsupported("keys that are no strings")
+        df = r.df if inner[1] is None else r.df.where(inner[1])
+        total = self.folded("add", (value, None))
+        out = rows_of(df.groupBy(required(key, "cannot be a key").column.alias("key")).agg(total.column.alias("value")))
+        return Tally(replace(out, order=[Sorted(out.elem.fields["key"])]))
+
     def do_reduce(self, at, env, source, patterns, start, update):
+        found = self.tally(at, env, source, patterns, start, update)
+        if found is not None:
+            return found
         return self.single(at, ("reduce", source, patterns, start, update), env)
 
     def do_index(self, at, env, of, key):
@@ -770,6 +839,8 @@ class Compiler:
                 return Val(F.try_element_at(v.column, F.lit(key)), v.type.valueType)
             if isinstance(v.type, T.NullType):
                 return v
+        if isinstance(key, int) and getattr(v, "items", None) is not None:
+            return v.items[key] if -len(v.items) <= key < len(v.items) else lit(None)
         if isinstance(key, int) and isinstance(v.type, T.ArrayType):
             return Val(F.get(v.column, key) if key >= 0 else F.try_element_at(v.column, F.lit(key)), v.type.elementType)
         raise Unsupported(f"index {key!r}")
@@ -1020,6 +1091,8 @@ class Compiler:
         return r.df.select(r.elem.column.alias("value"))
 
     def result(self, out, sort: bool = False) -> DataFrame:
+        if isinstance(out, Tally):
+            return out.rows.df.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("value"))
         if isinstance(out, Single):
             fields = out.val.fields
             return out.df.select(*[v.column.alias(k) for k, v in fields.items()]) if fields else out.df.select(out.val.column.alias("value"))
@@ -1071,6 +1144,14 @@ def _stat(f, t=DOUBLE):
     return run
 
 
+#: Window functions of programs: what each is over a frame, and of which kind.
+MOVING = ("windows", "moving_sum", "moving_avg", "moving_min", "moving_max")
+WINDOWS = {
+    "windows": lambda v, w: (F.collect_list(v.column).over(w), T.ArrayType(v.type)), "moving_sum": lambda v, w: (F.sum(v.column).over(w), DOUBLE if v.float else LONG), "moving_avg": lambda v, w: (F.sum(v.column.cast("double")).over(w) / F.count(F.lit(1)).over(w), DOUBLE),
+    "moving_min": lambda v, w: (F.min(v.column).over(w), v.type), "moving_max": lambda v, w: (F.max(v.column).over(w), v.type), "lag": lambda v, w: (F.lag(v.column).over(w), v.type),
+    "deltas": lambda v, w: (v.column - F.lag(v.column).over(w), v.type), "counter": lambda v, w: (F.row_number().over(w).cast("long"), LONG),
+}
+
 #: Statistics over arrays, as aggregates.
 STATS = {
     "sum": _stat(F.sum), "avg": _stat(F.avg), "median": _stat(F.median), "stddev": _stat(F.stddev_pop), "variance": _stat(F.var_pop), "quantile": _stat(lambda c, q: F.percentile(c, float(q))),
