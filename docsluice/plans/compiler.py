@@ -1169,7 +1169,7 @@ def _piped(steps: list[Node]) -> Node:
     return reduce(lambda a, b: ("pipe", a, b), steps) if steps else ("identity",)
 
 
-def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str) -> DataFrame:
+def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str, arguments: dict) -> DataFrame:
     """The longest beginning of a program that has a plan, and the rest by the evaluator on each record or group."""
     from docsluice.plans.records import over_groups, over_records
 
@@ -1180,10 +1180,18 @@ def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str) -> Dat
     steps = _steps(tree)
     # an iteration inside a path, as in .[].a, is a step of its own
     steps = [part for s in steps for part in _unfolded(s)]
-    env = {f"{name}/{len(params)}": (params, body) for name, params, body in definitions}
+    env = _constants(arguments) | {f"{name}/{len(params)}": (params, body) for name, params, body in definitions}
+
+    def whole(body: Node) -> Node:
+        """A rest of the program with the definitions and arguments that it can name."""
+        for d in reversed(definitions):
+            body = ("def", d, body)
+        for name, value in arguments.items():
+            body = ("bind", ("literal", value), [("name", name)], body)
+        return body
 
     def rest_of(cut: int) -> Node:
-        return reduce(lambda body, d: ("def", d, body), reversed(definitions), _piped(steps[cut:]))
+        return whole(_piped(steps[cut:]))
 
     for cut in range(len(steps) - 1, 0, -1):
         if any(compiler.has_var(s) for s in steps[cut:]):
@@ -1203,13 +1211,21 @@ def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str) -> Dat
             order = [next((n for n, v in (plain or {}).items() if v.column is o or str(v.column) == str(o)), None) for o in out.rows.order]
             if plain is None or len(names) < len(out.keys) or None in order:
                 raise Unsupported("groups by what is no column, or in another order")
-            inside = rest_of(cut + 1) if each else ("pipe", first[2][0], reduce(lambda body, d: ("def", d, body), reversed(definitions), _piped(steps[cut + 2 :])))
+            inside = rest_of(cut + 1) if each else whole(("pipe", first[2][0], _piped(steps[cut + 2 :])))
             if not each and steps[cut + 1 : cut + 2] != [("each", ("identity",))]:
                 raise Unsupported("groups as one value")
             return over_groups(compiler.plain(out.rows), list(names.values()), order, inside, schema, on_error)
     raise Unsupported("no records to run this on")
 
 
+def _constants(arguments: dict) -> dict[str, Val]:
+    """The arguments that are single values, as columns."""
+    out = {k: lit(v) for k, v in arguments.items() if v is None or isinstance(v, (bool, int, float, str))}
+    for k, v in out.items():
+        v.literal = arguments[k]
+    return out
+
+
 def _unfolded(step: Node) -> list[Node]:
     """.[].a.b as .[] | .a.b"""
     path, of = [], step
@@ -1223,7 +1239,7 @@ def _unfolded(step: Node) -> list[Node]:
 
 def compile_program(
     text: str, main: DataFrame | None = None, order: list[str] | None = None, sort: bool = False, tables: dict[str, DataFrame] | None = None, table_orders: dict[str, list[str]] | None = None,
-    schema: str | None = None, on_error: str = "raise", finite: bool = False,
+    schema: str | None = None, on_error: str = "raise", finite: bool = False, arguments: dict | None = None,
 ) -> DataFrame:
     """The outputs of a program over tables, as a DataFrame: an object's members are its columns, anything else is `value`.
 
@@ -1231,6 +1247,7 @@ def compile_program(
     likewise for the other tables, which `tables` holds by name. With sort, the result is sorted as the program's output is; else its rows come as they do.
     Where a program has no plan, the evaluator runs what is left of it on each record, or on the records of each
     group, and its outputs become rows of `schema` (columns in DDL); without a schema that raises Unsupported.
+    `arguments` are values that the program names as variables.
     `on_error` says what becomes of a record that it fails on: `raise`, `skip`, or `report` in a column `error`.
     Where the main table is a stream, what needs all of its records raises Unsupported.
     `finite` says that no column holds NaN, so that filters of doubles by `<` reach the scan too.
@@ -1241,8 +1258,8 @@ def compile_program(
     tree = parse(text)
     if schema is None or on_error == "raise":
         try:
-            return compiler.result(compiler.run(tree, at, {}), sort)
+            return compiler.result(compiler.run(tree, at, _constants(arguments or {})), sort)
         except Unsupported:
             if schema is None:
                 raise
-    return _lane(compiler, tree, at, schema, on_error)
+    return _lane(compiler, tree, at, schema, on_error, arguments or {})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docsluice.lang.evaluate import Raised
+from docsluice.lang.evaluate import Raised, Run
 from docsluice.lang.parser import parse
 from docsluice.lang.values import loads
 from docsluice.plans.records import _batches, _schema, fitted, over_records, program_of
@@ -50,7 +50,7 @@ def decoded(df: DataFrame, column: str, form: str, schema: str = "value string",
             return
         try:
             for v in decode(data if isinstance(data, bytes) else data.encode("utf-8", "surrogatepass"), form):
-                for x in run.outputs(v):
+                for x in run.outputs(v, Run(filename=kept.get("path"))):
                     yield one(x, None)
         except (Raised, ValueError) as e:
             if on_error == "raise":
@@ -86,7 +86,7 @@ def encoded(df: DataFrame, form: str, name: str = "content", program: str = ".",
 def read_documents(spark: SparkSession, path: str, form: str | None = None, schema: str = "value string", program: str = ".", on_error: str = "raise") -> DataFrame:
     """Files that are one document each: (path, columns of schema) of the program's outputs on their values.
 
-    A file is read into one worker; a folder's files are dealt out. An empty folder gives no rows.
+    `input_filename` is the file's path. A file is read into one worker; a folder's files are dealt out. An empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return decoded(files, "content", form or format_of(path), schema, program, on_error, ("path",))

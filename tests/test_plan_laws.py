@@ -107,3 +107,26 @@ def test_groups_run_folds_in_order(spark):
 @pytest.mark.parametrize("program, fields", [(".a.b", {"a"}), ("{a, b: (.c | length)}", {"a", "c"}), (". | keys", None), ("to_entries", None), ("if .a then .b else 1 end", {"a", "b"}), ('"\\(.a)"', {"a"}), (".a as $x | .b + $x", {"a", "b"}), ("[.a[] | . + 1]", {"a"}), ("reduce .a[] as $x (0; . + $x)", {"a"}), ("first(.a, .b)", {"a", "b"}), ('test("x")', None), (".a |= 1", None)])
 def test_fields_read(program, fields):
     assert fields_read(parse(program)) == fields
+
+
+def test_arguments(spark):
+    table = spark.createDataFrame([(1, "a"), (5, "b")], "id long, s string")
+    assert [r.id for r in compile_program(".[] | select(.id > $least) | {id}", table, arguments={"least": 3}).collect()] == [5]
+    out = compile_program(".[] | select(.id > $least) | {id, t: (.s | in($names))}", table, schema="id long, t boolean", arguments={"least": 3, "names": {"b": 1}}).collect()
+    assert [(r.id, r.t) for r in out] == [(5, True)]
+
+
+def test_sums_by_key_and_joins_by_index(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 5), ("a", 2)], "k string, v long")
+    other = spark.createDataFrame([("a", "first"), ("a", "last")], "k string, n string")
+    assert compile_program("reduce .[] as $r ({}; .[$r.k] += $r.v)", table).collect()[0].value == {"a": 3, "b": 5}
+    out = compile_program("INDEX($o[]; .k) as $ix | JOIN($ix; .[]; .k; {v: .[0].v, n: .[1].n})", table, tables={"o": other}, table_orders={"o": ["n"]})
+    assert sorted((r.v, r.n) for r in out.collect()) == [(1, "last"), (2, "last"), (5, None)]
+
+
+def test_windows_of_groups_are_windows(spark):
+    table = spark.createDataFrame([("a", 2, 1), ("a", 1, 5), ("b", 1, 7), ("a", 3, 2)], "k string, t long, v long")
+    rows = [{"k": "a", "t": 1, "v": 5}, {"k": "a", "t": 2, "v": 1}, {"k": "a", "t": 3, "v": 2}, {"k": "b", "t": 1, "v": 7}]
+    for call in ("windows(2; .[].v)", "moving_sum(2; .[].v)", "moving_avg(2; .[].v)", "moving_min(2; .[].v)", "moving_max(9; .[].v)", "lag(.[].v)", "deltas(.[].v)", "counter(.[].v)"):
+        out = compile_program(f"group_by(.k) | .[] | {call}", table, ["t"])
+        assert "Window" in plan_of(out) and sorted(map(str, (plain(r.value) for r in out.collect()))) == sorted(map(str, map(plain, evaluate(f"group_by(.k) | .[] | {call}", rows)))), call
