@@ -40,7 +40,7 @@ def _spots(docs: DataFrame, pairs: bool) -> DataFrame:
 
 
 def anchors(benchmark: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(shingle, single, item_id, at, before, after, many): the rarest shingle of each window, with the item's words around it.
+    """(shingle, single, item_id, before, after, width): the rarest shingle of each window, with the item's words around it.
 
     Rarity is the number of a shingle's occurrences in all documents. A window occurs only where this one shingle
     does, so the join on it loses none. Windows of one item that share their anchor share a row.
@@ -105,9 +105,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A window is `window` consecutive words of an item, or the whole of an item of fewer words. A word of a document
     is hit if it lies in an occurrence of a window. A null or empty text has no words and no hits; items without words
     have no windows; an item that stands in the benchmark twice counts once. Rows with the same doc_id and text get the same numbers. An empty
-    benchmark hits nothing. Columns named like results are replaced, others stay.
+    benchmark hits nothing. An item without an id hits words, but is not among the items that are counted and named.
+    Columns named like results are replaced, columns named text_hash, dc_id, dc_hash or dc_items are left out, others stay.
     """
-    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_hash")
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_hash", "dc_id", "dc_hash", "dc_items")
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = keyed.select("doc_id", "text_hash", tokens(F.col("text")).alias("words"))
     found = saved(hits(texts, benchmark, window), "hits")

@@ -37,8 +37,11 @@ def pieces(path: str = VOCABULARY) -> list[str]:
 
 
 def text_words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case. Signs such as a half, a raised two or a Roman numeral of one character are none."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 class Segmenter:

@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, n: int | None = No
     first; the expected copies of the others then make up for the words these took too many or too few.
 
     Null text: size 0. Null source: one more source, last in order. Sources without words: target 0, each copy count
-    0. Repeated rows are separate documents. Other columns stay as they are; columns named like results are replaced.
+    0. Repeated rows are separate documents. Other columns stay as they are; columns named like results are replaced, and columns whose names begin with mix_ are left out.
     No table grows into one task: see _ranked; the tables of sources have a row for each source.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")

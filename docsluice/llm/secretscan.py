@@ -134,7 +134,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """docs with each secret in text replaced by <secret>; everything else stays."""
+    """docs with each secret in text replaced by <secret>; everything else stays.
+
+    Null and empty texts stay as they are, repeated rows each get the same text. Rows without a doc_id share their
+    secrets, as rows that share a doc_id do. An empty table stays empty. A column named ss_id or ss_values is left out.
+    """
     gone = scan(docs.select("doc_id", "text").distinct(), findings).where("secret").groupBy("doc_id").agg(F.collect_set("value").alias("ss_values")).withColumnRenamed("doc_id", "ss_id")
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("ss_id")), "left")
     longest_first = F.array_sort(F.col("ss_values"), lambda a, b: F.length(b) - F.length(a))
