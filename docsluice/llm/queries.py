@@ -147,5 +147,50 @@ FROM t LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP6_SQL = """
+WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS x FROM documents),
+w AS (SELECT doc_id, line, list_filter(string_split_regex(x, '[ \\t-\\r]+'), lambda t: t <> '') AS w FROM l),
+t AS (SELECT doc_id, line, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END)) AS tokens FROM w WHERE len(w) > 0),
+s AS (SELECT tokens, min({'doc_id': doc_id, 'line': line}) AS f, row_number() OVER () AS k FROM t GROUP BY tokens),
+p AS (SELECT k, f, len(tokens) AS n, unnest(tokens) AS token FROM s),
+j AS (SELECT b.k FROM p a JOIN p b USING (token) WHERE a.f < b.f GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+g AS (SELECT t.doc_id, t.line FROM t JOIN s USING (tokens) WHERE s.k IN (SELECT k FROM j) OR s.f <> {'doc_id': t.doc_id, 'line': t.line})
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
+  count(g.line)::BIGINT AS n_removed, coalesce(string_agg(g.line, ',' ORDER BY g.line), '') AS removed
+FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) END) AS s FROM t WHERE len(w) > 0),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM h),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (shingle) WHERE a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS root FROM h UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node AND r.root < p.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+k AS (SELECT list_sort(s) AS s, min(doc_id) AS class_id FROM h GROUP BY 1)
+SELECT t.doc_id, coalesce(len(h.s), 0)::BIGINT AS n_shingles, coalesce(c.root, t.doc_id) AS component_id,
+  coalesce(c.root, t.doc_id) = t.doc_id AS kept, coalesce(k.class_id, t.doc_id) AS class_id
+FROM t LEFT JOIN h USING (doc_id) LEFT JOIN c ON c.node = t.doc_id LEFT JOIN k ON k.s = list_sort(h.s)
+"""
+
+#: CRC-32 by its table of 256 remainders, which its polynomial gives.
+OP5_SQL = """
+WITH z AS (SELECT list(v ORDER BY i) AS z FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda k: 0::UBIGINT)),
+    lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)) AS v FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, text, coalesce(strlen(text), 0)::BIGINT + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT *, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::UBIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, size, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes),
+    lambda c, x: xor(c >> 8, z[xor(c & 255, x)::INT + 1])), 4294967295::UBIGINT)::BIGINT END AS text_crc32 FROM b, z),
+m AS (SELECT *, sum(size) OVER (ORDER BY doc_id) * 2 - size AS middle, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least(23, (middle * 24) // (total * 2))::INT AS shard FROM m)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_chat": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_minhash": OP2_SQL, "op5_sharding": OP5_SQL, "op6_linededup": OP6_SQL, "op3_mixing": OP3_SQL, "op7_chat": OP7_SQL, "op10_decontamination": OP10_SQL}
