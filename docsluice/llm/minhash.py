@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsluice.llm._common import forget, saved, sent_if_small, small_batches
 from docsluice.llm.components import components
@@ -20,6 +21,9 @@ BANDS, ROWS = 24, 4
 PLACES = 1 << 20
 #: Members of a bucket up to which members of different components are compared pair by pair; beyond, in blocks.
 SMALL = 64
+#: Rows of a bucket from which on it is hot, and dealt out to several tasks; at least a share of 1 / HOT_SHARE of all rows, so
+#: that there are at most HOT_SHARE hot buckets.
+HOT, HOT_SHARE = 1024, 10_000
 #: Documents of a chunk, on average at most, when members of different components are compared in blocks.
 CHUNK = 512
 #: Documents whose ids are sent to every executor at most, when shingle sets are built again for some of them.
@@ -75,20 +79,22 @@ class Circulant:
 
 
 def _signed(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, fp1, fp2, bands): size, 128-bit fingerprint and bands of each document's set."""
+    """(.., id, n, fp1, fp2, bands) of texts (.., id, text): size, 128-bit fingerprint and bands of each document's set."""
+    more = texts.columns[:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant()
         for b in batches:
-            sets = [shingles(x, width) for x in b.column(1).to_pylist()]
+            sets = [shingles(x, width) for x in b.column(len(more) + 1).to_pylist()]
             prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             half = 1 << 63
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([(p >> 64) - half for p in prints], pa.int64()), pa.array([(p & (2 * half - 1)) - half for p in prints], pa.int64()), pa.array([circulant.bands(s) for s in sets], pa.list_(pa.int64()))],
-                ["id", "n", "fp1", "fp2", "bands"],
+                [*b.columns[: len(more) + 1], pa.array([len(s) for s in sets], pa.int64()), pa.array([(p >> 64) - half for p in prints], pa.int64()), pa.array([(p & (2 * half - 1)) - half for p in prints], pa.int64()), pa.array([circulant.bands(s) for s in sets], pa.list_(pa.int64()))],
+                [*more, "id", "n", "fp1", "fp2", "bands"],
             )
 
-    return texts.mapInArrow(run, "id long, n long, fp1 long, fp2 long, bands array<long>")
+    schema = T.StructType([*texts.schema.fields[: len(more) + 1], *T._parse_datatype_string("n long, fp1 long, fp2 long, bands array<long>").fields])
+    return texts.mapInArrow(run, schema)
 
 
 def _sets(texts: DataFrame, width: int, ids: DataFrame) -> DataFrame:
@@ -120,18 +126,26 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     """
     buckets = saved(reps.select("id", "n", F.posexplode("bands").alias("band", "key")), "buckets")
     heads = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("many"), F.min_by("n", "id").alias("a_n")).where("many > 1")
+    most = max(HOT, buckets.count() // HOT_SHARE)
+    first = saved(heads.withColumn("parts", F.ceil(F.col("many") / most).cast("int")), "heads")
+    hot = F.broadcast(first.where("parts > 1").select("band", "key", F.col("parts").alias("hot_parts")))
+    # a hot bucket's rows are dealt out, and its head goes to each of their tasks
+    part = F.pmod(F.xxhash64("id"), F.coalesce("hot_parts", F.lit(1))).cast("int")
+    dealt = buckets.join(hot, ["band", "key"], "left").withColumn("part", part).drop("hot_parts")
+    heads = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["band", "key", "part"]
     fits = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
-    met = saved(buckets.join(heads, ["band", "key"]).where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("a_n"))).select("a", F.col("id").alias("b")).distinct(), "pairs")
+    met = saved(dealt.join(heads, key).where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("a_n"))).select("a", F.col("id").alias("b")).distinct(), "pairs")
     ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
     sets = saved(_sets(texts, width, ids), "sets")
     found = saved(_linked(met, sets, percent), "links")
     forget(sets)
 
     of = components(found)
-    placed = buckets.join(heads.select("band", "key", "many"), ["band", "key"]).join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = dealt.join(heads.select(*key, "many"), key).join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # what has one component only is settled; one row for each component of a bucket is enough to see that
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = saved(placed.join(mixed.select("band", "key"), ["band", "key"]), "open")
+    open_ = saved(placed.join(mixed.select("band", "key").join(heads.select(*key), ["band", "key"]), key).drop("part"), "open")
     small, large = open_.where(F.col("many") <= SMALL), open_.where(F.col("many") > SMALL)
     left, right = small.select("band", "key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c")), small.select("band", "key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
     near = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
@@ -140,7 +154,7 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     more = saved(_linked(pairs, _sets(texts, width, ids), percent), "links")
     rare = saved(_across(large, texts, width, percent), "links")
-    for used in (buckets, met, open_, pairs):
+    for used in (buckets, first, met, open_, pairs):
         forget(used)
     return found.union(more).union(rare)
 
@@ -204,8 +218,8 @@ def block_links(ids: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: n
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id) of every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, class_id) of every row of docs (doc_id, text), behind the columns `keys` of docs.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked, components are those of
     all links, component_id is the least doc_id in one. class_id is the least doc_id with the very same set. A text
@@ -215,7 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    signed = saved(_signed(texts, width), "signed")
+    mark = [F.col(k).alias(f"md_{k}") for k in keys]
+    signed = saved(_signed(docs.select(*mark, F.col("doc_id").alias("id"), "text"), width), "signed")
     known = signed.where("n > 0 AND id IS NOT NULL")
     print_ = ["n", "fp1", "fp2"]
     reps = known.groupBy(*print_).agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
@@ -223,8 +238,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = links(reps.select(F.col("rep").alias("id"), "n", "bands"), texts, width, percent)
     of = components(found)
     named = reps.select(*print_, "rep").join(of, F.col("rep") == F.col("node"), "left").select(*print_, "rep", F.coalesce("component", "rep").alias("component_id"))
-    rows = signed.select(F.col("id").alias("doc_id"), *print_)
+    rows = signed.select(*[f"md_{k}" for k in keys], F.col("id").alias("doc_id"), *print_)
     out = rows.join(named, print_, "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("class_id", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+    return out.select(*[F.col(f"md_{k}").alias(k) for k in keys], "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
