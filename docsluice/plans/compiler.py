@@ -39,9 +39,12 @@ class Rows:
 
 @dataclass
 class Groups:
+    """Rows by key: an array of arrays, or, as a stream, one array after the other."""
+
     rows: Rows
     keys: list[Val]
     nodes: list[Node]
+    stream: bool = False
 
 
 @dataclass
@@ -104,6 +107,8 @@ class Compiler:
             if node == ("identity",):
                 return at
             raise Unsupported(f"{kind} of sums by key")
+        if isinstance(at, Groups) and at.stream and kind not in ("identity", "pipe", "bind", "def", "each") and not (kind == "call" and node[1] in WINDOWS):
+            return replace(self.grouped(at, node, env), table=False)
         if isinstance(at, Rows) and not at.table and kind not in ("pipe", "call", "bind", "def", "identity", "comma", "each", "var", "if_rows"):
             return self.mapped(at, node, env)
         if step is None:
@@ -140,8 +145,8 @@ class Compiler:
             return replace(self.settled(inner), table=False)
         if isinstance(inner, Rows):
             return self.exploded(inner)
-        if isinstance(inner, Groups):
-            return inner
+        if isinstance(inner, Groups) and not inner.stream:
+            return replace(inner, stream=True)
         raise Unsupported(".[] of this")
 
     def exploded(self, r: Rows) -> Rows:
@@ -183,6 +188,8 @@ class Compiler:
     def do_collect(self, at, env, inner):
         if inner is None:
             raise Unsupported("[]")
+        if isinstance(at, Groups):
+            raise Unsupported("an array for each group")
         out = self.run(inner, at, env)
         if isinstance(out, Rows) and not out.table:
             return replace(out, table=True)
@@ -295,7 +302,7 @@ class Compiler:
         if isinstance(at, Groups):
             if name == "map":
                 return self.grouped(at, args[0], env)
-            if name in WINDOWS and (name, len(args)) in (*[(n, 2) for n in MOVING], ("lag", 1), ("deltas", 1), ("counter", 1)):
+            if at.stream and (name, len(args)) in (*[(n, 2) for n in MOVING], ("lag", 1), ("deltas", 1), ("counter", 1)):
                 return self.windowed(at, name, args, env)
             if name == "length" and not args:
                 return self.summary(replace(at.rows, table=True), {"value": ("call", "count_groups", ())}, env, at)
@@ -332,6 +339,8 @@ class Compiler:
         return Rows(df, Val(F.col(name_), t), [*[Sorted(k) for k in g.keys], F.col(place)], False)
 
     def single(self, at: Rows, node: Node, env: dict) -> Single:
+        if not isinstance(at, Rows):
+            raise Unsupported("one value for each group")
         self.need_end()
         val = self.aggregate(node, self.settled(at), env)
         return Single(self.settled(at).df.agg(val.column.alias("value")), Val(F.col("value"), val.type))
@@ -1205,7 +1214,7 @@ def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str, argume
             return over_records(compiler.plain(r), rest_of(cut), schema, on_error, None if r.elem.fields is not None else "value")
         first = steps[cut]
         each = first == ("each", ("identity",))
-        if isinstance(out, Groups) and (each or first[0] == "call" and first[1] == "map"):
+        if isinstance(out, Groups) and not out.stream and (each or first[0] == "call" and first[1] == "map"):
             plain = out.rows.elem.fields
             names = {k: n for k in range(len(out.keys)) for n, v in (plain or {}).items() if v is out.keys[k]}
             order = [next((n for n, v in (plain or {}).items() if v.column is o or str(v.column) == str(o)), None) for o in out.rows.order]

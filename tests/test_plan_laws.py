@@ -124,6 +124,13 @@ def test_sums_by_key_and_joins_by_index(spark):
     assert sorted((r.v, r.n) for r in out.collect()) == [(1, "last"), (2, "last"), (5, None)]
 
 
+def test_arrays_of_groups_are_one_for_each(spark):
+    table = spark.createDataFrame([("a", 2, 1), ("a", 1, 5), ("b", 1, 7)], "k string, t long, v long")
+    for body, wanted in (("[counter(.[].v)]", ["[1,2]", "[1]"]), ("reduce .[] as $r (0; . + $r.v)", ["6", "7"]), ("length", ["2", "1"])):
+        out = compile_program(f"group_by(.k) | .[] | {body}", table, ["t"], schema="value string")
+        assert sorted(str(r.value) for r in out.collect()) == sorted(wanted), body
+
+
 def test_windows_of_groups_are_windows(spark):
     table = spark.createDataFrame([("a", 2, 1), ("a", 1, 5), ("b", 1, 7), ("a", 3, 2)], "k string, t long, v long")
     rows = [{"k": "a", "t": 1, "v": 5}, {"k": "a", "t": 2, "v": 1}, {"k": "a", "t": 3, "v": 2}, {"k": "b", "t": 1, "v": 7}]
