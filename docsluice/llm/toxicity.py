@@ -32,6 +32,15 @@ def term_counts(text: str | None, terms: dict[str, int]) -> Counter:
     return found
 
 
+#: Terms of a text by number, rising, and how often each occurs.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def packed(counts: dict[int, int]) -> Counts:
+    at = np.array(sorted(counts), np.int32)
+    return at, np.array([counts[t] for t in at.tolist()], np.int32)
+
+
 def spans(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges from starts to ends, one after the other, and with each its range's value."""
     many = ends - starts
@@ -42,25 +51,25 @@ def spans(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.
 class Index:
     """Unit TF-IDF vectors of the examples as postings by (term, block of examples), with each posting list's maximum."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float]):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, Counts]], weights: tuple[float, float]):
         self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
         self.names, self.ids = terms, np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int8)
         self.weights = np.array(weights)[self.labels] if len(examples) else np.zeros(0)
         self.blocks = max(1, -(-len(examples) // BLOCK))
-        self.vectors = [self.vector(e[2]) for e in examples]
-        self.blank = np.array([not len(at) for at, _ in self.vectors], bool)
-        term = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in self.vectors]])
-        owner = np.repeat(np.arange(len(examples)), np.array([len(at) for at, _ in self.vectors], np.int64))
-        order = np.lexsort((owner, term))
-        term, self.owner = term[order], owner[order]
+        self.blank = np.array([not len(e[2][0]) for e in examples], bool)
+        term = np.concatenate([np.zeros(0, np.int32), *[e[2][0] for e in examples]])
+        owner = np.repeat(np.arange(len(examples), dtype=np.int32), np.array([len(e[2][0]) for e in examples], np.int64))
+        order = np.argsort(term, kind="stable")  # examples stand in order
+        term, self.owner = term[order].astype(np.int64), owner[order]
         self.of_term = np.searchsorted(term, np.arange(len(terms) + 1))
-        self.held = np.concatenate([np.zeros(0), *[values for _, values in self.vectors]])[order]
+        self.held = np.concatenate([np.zeros(0), *[self.vector(e[2])[1] for e in examples]])[order]
         # a posting list is the examples of one block that have a term; the lists of a term stand together
         lists = term * self.blocks + self.owner // BLOCK
-        self.starts = np.nonzero(np.diff(lists, prepend=-1))[0]
-        self.ends = np.append(self.starts[1:], len(lists))[: len(self.starts)]
-        self.of_block = lists[self.starts] % self.blocks
+        self.starts = np.nonzero(np.diff(lists, prepend=-1))[0].astype(np.int32)
+        self.ends = np.append(self.starts[1:], len(lists))[: len(self.starts)].astype(np.int32)
+        self.of_block = (lists[self.starts] % self.blocks).astype(np.int32)
+        del lists, order
         self.most = np.maximum.reduceat(self.held, self.starts) if len(self.starts) else np.zeros(0)
         self.first = np.searchsorted(term[self.starts], np.arange(len(terms) + 1))
         w, y = self.weights[self.blank], self.labels[self.blank]
@@ -70,12 +79,9 @@ class Index:
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
         self.known: dict = {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"vectors": []}  # the postings have them
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        values = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.idf[at]
+    def vector(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        at, times = counts
+        values = (1 + np.log(times)) * self.idf[at]
         norm = math.sqrt(float((values * values).sum()))
         return at, values / norm if norm else values
 
@@ -108,10 +114,10 @@ class Index:
             best_at, best = ids[top], scores[top]
         return best_at, best
 
-    def raw(self, counts: dict[int, int], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        if not counts:
+    def raw(self, counts: Counts, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        if not len(counts[0]):
             return self.blank_rate, np.zeros(0, np.int64), np.zeros(0)
-        key = (blake2b(np.array(sorted(counts.items()), np.int64).tobytes(), digest_size=16).digest(), without)
+        key = (blake2b(counts[0].tobytes() + counts[1].tobytes(), digest_size=16).digest(), without)
         if (found := self.known.get(key)) is None:
             at, sims = self.nearest(*self.vector(counts), without)
             w = sims * sims * self.weights[at]
@@ -122,9 +128,9 @@ class Index:
             self.known[key] = found
         return found
 
-    def calibrate(self, examples: list[tuple[int, int, dict[int, int]]]) -> None:
+    def calibrate(self, examples: list[tuple[int, int, Counts]]) -> None:
         """A rising step function from votes to toxic rates, from each example's vote without itself."""
-        rows = sorted((self.raw(e[2], k)[0], float(e[1]), float(self.weights[k])) for k, e in enumerate(examples) if e[2])
+        rows = sorted((self.raw(e[2], k)[0], float(e[1]), float(self.weights[k])) for k, e in enumerate(examples) if len(e[2][0]))
         pools: list[list[float]] = []  # vote, toxic weight, weight
         for vote, y, w in rows:
             pools.append([vote * w, y * w, w])
@@ -135,9 +141,9 @@ class Index:
         if len(pools) > 1:
             self.steps = np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * self.base) / (p[2] + 0.5) for p in pools])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, counts: Counts) -> tuple[float, np.ndarray, np.ndarray]:
         vote, at, sims = self.raw(counts)
-        if counts and self.steps:
+        if len(counts[0]) and self.steps:
             vote = float(np.interp(vote, *self.steps))
         return min(1.0, max(0.0, vote)), at, sims
 
@@ -168,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
 
     rows = picked.mapInArrow(count, "doc_id long, toxic int, t array<string>, n array<int>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     flat = pc.list_flatten(rows["t"]).combine_chunks().dictionary_encode()
-    names, code, times = flat.dictionary, flat.indices.to_numpy(), pc.list_flatten(rows["n"]).to_numpy()
-    sizes, toxic = pc.list_value_length(rows["t"]).to_numpy(), rows["toxic"].to_numpy()
+    names, code, times = flat.dictionary, flat.indices.to_numpy().astype(np.int32), pc.list_flatten(rows["n"]).to_numpy().astype(np.int32)
+    sizes, toxic, ids = pc.list_value_length(rows["t"]).to_numpy(), rows["toxic"].to_numpy(), rows["doc_id"].to_pylist()
+    del rows, flat  # the driver has little room
     # of the examples alone, until the counts of all labelled documents are there
     df = np.bincount(code, minlength=len(names)).astype(float)
     a = np.bincount(code, np.repeat(toxic, sizes), minlength=len(names))
@@ -181,8 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     all_ = float(n1 + n0)
     together = np.abs(a * all_ - df * n1) / np.sqrt(df * np.maximum(1, all_ - df) * n1 * n0)
     idf = (np.log((1 + all_) / (1 + df)) + 1) * together
-    ends = np.cumsum(sizes)
-    got = [(d, y, dict(zip(code[e - m : e].tolist(), times[e - m : e].tolist(), strict=True))) for d, y, m, e in zip(rows["doc_id"].to_pylist(), toxic.tolist(), sizes, ends, strict=True)]
+    got = []
+    for d, y, m, e in zip(ids, toxic.tolist(), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+        order = np.argsort(code[e - m : e])
+        got.append((d, y, (code[e - m : e][order], times[e - m : e][order])))
+    del code, times, seen, at
     names = names.to_pylist()
     have = Counter(g[1] for g in got)
     out = Index(names, idf, got, (n0 / max(1, have[0]), n1 / max(1, have[1])))
@@ -210,12 +220,12 @@ def score(docs: DataFrame, index: Index, evidence: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for b in batches:
-            counts = [term_counts(x, index.terms) for x in b.column(at_text).to_pylist()]
+            counts = [packed(term_counts(x, index.terms)) for x in b.column(at_text).to_pylist()]
             found = [index.score(c) for c in counts]
             columns = [pa.array([f[0] for f in found], pa.float64()), pa.array([int(f[0] >= 0.5) for f in found], pa.int32())]
             if evidence:
                 near = [[{"doc_id": int(index.ids[k]), "toxic": int(index.labels[k]), "cosine": float(s)} for k, s in zip(f[1], f[2], strict=True)] for f in found]
-                columns += [pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))), pa.array([[index.names[t] for t in sorted(c)] for c in counts], pa.list_(pa.string()))]
+                columns += [pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))), pa.array([[index.names[t] for t in c[0].tolist()] for c in counts], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *(m[0] for m in more)])
 
     schema = StructType(list(docs.schema.fields))

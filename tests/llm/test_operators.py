@@ -159,13 +159,14 @@ def test_toxicity_scores(spark):
 
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(5)
-    examples = [(k, int(k % 2), {int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 8), replace=False)}) for k in range(400)]
+    examples = [(k, int(k % 2), toxicity.packed({int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 8), replace=False)})) for k in range(400)]
     index = toxicity.Index([f"t{k}" for k in range(30)], rng.random(30) + 0.5, examples, (1.0, 1.0))
     dense = np.zeros((400, 30))
-    for k, (at, values) in enumerate(index.vectors):
+    for k, e in enumerate(examples):
+        at, values = index.vector(e[2])
         dense[k, at] = values
     for k in range(0, 400, 7):
-        _, scores = index.nearest(*index.vectors[k], without=k)
+        _, scores = index.nearest(*index.vector(examples[k][2]), without=k)
         cosines = dense @ dense[k]
         cosines[k] = -1
         assert np.allclose(scores, np.sort(cosines)[::-1][: len(scores)])
