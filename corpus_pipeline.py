@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsluice.llm import decontamination, minhash, mixing, sharding, toxicity
-from docsluice.llm._common import saved, table
+from docsluice.llm._common import release, saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,7 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels of both classes all documents get the one rate that is left.
     """
     index = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), index).where("predicted = 0").select(*COLUMNS)
+    out = toxicity.score(docs.select(*COLUMNS), index).where("predicted = 0").select(*COLUMNS)
+    del index  # the executors have it; the later stages need the driver's room
+    release()
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,13 +116,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(sizes_fit & similar).select("a", "b")
 
 
-def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): enough links between documents of different sets that their components are those of all links.
+def linked_components(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component): the least id in the component of each document that is linked with another set.
 
     reps has (id, n, bands), a row for each distinct set. In each bucket the members are compared with the member of
     least id first. Components of the confirmed links are formed, and members of a bucket in different components
     are then compared too: pair by pair in buckets of up to SMALL members, and in blocks beyond. Pairs within a
-    component are never listed.
+    component are never listed. What these links join is found among components, not among documents again. Steps
+    that no bucket is left for are not run: each query that the driver plans costs it memory.
     """
     buckets = saved(reps.select("id", "n", F.posexplode("bands").alias("band", "key")), "buckets")
     heads = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("many"), F.min_by("n", "id").alias("a_n")).where("many > 1")
@@ -147,16 +148,44 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = saved(placed.join(mixed.select("band", "key").join(heads.select(*key), ["band", "key"]), key).drop("part"), "open")
     small, large = open_.where(F.col("many") <= SMALL), open_.where(F.col("many") > SMALL)
+    left_open = {r["large"] for r in open_.select((F.col("many") > SMALL).alias("large")).distinct().collect()}
+    further = []
+    if False in left_open:
+        further.append(_among(small, met, texts, width, percent))
+    if True in left_open:
+        further.append(_across(large, texts, width, percent))
+    for used in (buckets, first, met, open_):
+        forget(used)
+    for extra in further:
+        of = _joined(of, extra)
+    return of
+
+
+def _joined(of: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) with those joined that the links more (a, b) connect."""
+    if not more.limit(1).count():
+        return of
+    ends = more
+    for k in "ab":
+        ends = ends.join(of.select(F.col("node").alias(k), F.col("component").alias(f"{k}_of")), k, "left").withColumn(f"{k}_of", F.coalesce(f"{k}_of", k))
+    above = components(ends.select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).where("a != b"))
+    # an end that had no link before is a component of its own, and stands among the nodes of above
+    alone = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(of, "node", "left_anti").withColumn("component", F.col("node"))
+    top = above.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+    return saved(of.unionByName(alone).join(top, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "labels")
+
+
+def _among(small: DataFrame, met: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between members of different components in buckets (band, key, id, n, component), but for pairs in met."""
+    fits = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     left, right = small.select("band", "key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c")), small.select("band", "key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
     near = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
     near = near.join(met, ["a", "b"], "left_anti")
     pairs = saved(near, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    more = saved(_linked(pairs, _sets(texts, width, ids), percent), "links")
-    rare = saved(_across(large, texts, width, percent), "links")
-    for used in (buckets, first, met, open_, pairs):
-        forget(used)
-    return found.union(more).union(rare)
+    found = saved(_linked(pairs, _sets(texts, width, ids), percent), "links")
+    forget(pairs)
+    return found
 
 
 def _across(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -235,8 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keys: tu
     print_ = ["n", "fp1", "fp2"]
     reps = known.groupBy(*print_).agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     reps = saved(reps, "reps")
-    found = links(reps.select(F.col("rep").alias("id"), "n", "bands"), texts, width, percent)
-    of = components(found)
+    of = linked_components(reps.select(F.col("rep").alias("id"), "n", "bands"), texts, width, percent)
     named = reps.select(*print_, "rep").join(of, F.col("rep") == F.col("node"), "left").select(*print_, "rep", F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select(*[f"md_{k}" for k in keys], F.col("id").alias("doc_id"), *print_)
     out = rows.join(named, print_, "left")

@@ -122,3 +122,29 @@ def test_no_private_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         _common.shared_dir(Session())
+
+
+def planned(spark):
+    """How many queries the driver has planned so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_near_duplicates_skip_steps_that_nothing_is_left_for(spark):
+    one = " ".join(f"a{k}" for k in range(60))
+    table = docs_of(spark, (1, one), (2, one + " x"), (3, " ".join(f"b{k}" for k in range(60))))
+    before = planned(spark)
+    out = minhash.near_duplicates(table, width=4)
+    many = planned(spark) - before
+    assert many <= 28
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_links_found_late_join_components(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    # a chain of windows over one sequence: each is like the next few only, and none like the earliest of a whole bucket
+    rows = [(k, " ".join(f"w{i}" for i in range(3 * k, 3 * k + 60))) for k in (*range(0, 40, 2), *range(1, 40, 2))]
+    rows += [(100 + k, " ".join(f"v{i}" for i in range(30 * k, 30 * k + 60))) for k in range(6)]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, *rows), width=4).collect()}
+    assert out == {d: 0 if d < 100 else d for d, _ in rows}
