@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +14,11 @@ from docsluice.llm._common import saved
 
 #: Tables, and the least width of their pseudo-rotations: a table has twice as many signed axes, and as many buckets.
 TABLES, WIDTH = 12, 1024
-#: The share of a table's axes that a query probes among 10,000 candidates; it falls with their number to the power of 0.35,
-#: as the nearest of more candidates are nearer.
-PROBED, FALL = 0.019, 0.35
+#: A query probes as many axes of each table as find this share of the nearest candidates of SAMPLE queries, those of least
+#: hash, which are compared with all candidates to learn it.
+RECALL, SAMPLE = 0.94, 128
+#: Candidates that a task compares with the sample at once.
+STEP = 4096
 #: Where lengths differ, the share of the candidates, the longest, that every query is compared with.
 LONG = 1 / 16
 #: Vectors and queries that are compared in one block at most, on average.
@@ -219,20 +220,86 @@ def _best(index: DataFrame, probes: DataFrame, dims: int, k: int, count: bool =
     return merged.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def probed_axes(n: int, dims: int, probed: float = PROBED) -> int:
-    """How many signed axes of a table a query probes among n candidates."""
+def needed_axes(q: np.ndarray, c: np.ndarray, polytope: Polytope) -> np.ndarray:
+    """How many axes of each table a query has to probe to meet a candidate in one of them, for rows of unit vectors."""
+    least = np.full(len(q), 2 * polytope.width)
+    for t in range(TABLES):
+        bucket = polytope.bucket(c, t)
+        for a in range(0, len(q), 512):
+            turned = polytope.rotated(q[a : a + 512], t)
+            own = bucket[a : a + 512]
+            value = turned[np.arange(len(own)), own // 2] * np.where(own % 2, -1, 1)
+            # axes of either sign that are at least as near, its own one too
+            nearer = (turned >= value[:, None]).sum(axis=1) + (-turned >= value[:, None]).sum(axis=1)
+            least[a : a + 512] = np.minimum(least[a : a + 512], nearer)
+    return least
+
+
+def probed_axes(pool: DataFrame, asked: DataFrame, dims: int, cut: float, k: int, recall: float = RECALL) -> int:
+    """How many signed axes of a table a query probes: the fewest that find the share `recall` of what the sample should find.
+
+    The sample's k nearest are found by comparing it with every candidate, so what a query probes follows from how near
+    the nearest are, and not from how many candidates there are.
+    """
+    rows = asked.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()
+    sample = {r["id"]: r["v"] for r in reversed(rows)}
+    if not sample:
+        return 1
+    ids, q = np.array(list(sample), np.int64), np.array(list(sample.values()), float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near_id, near, near_norm, found = np.zeros(0, np.int64), np.zeros((0, dims)), np.zeros(0), None
+
+        def compared(parts: list) -> None:
+            nonlocal near_id, near, near_norm, found
+            c_id, c, norm = (np.concatenate([old, *new]) for old, new in zip((near_id, near, near_norm), zip(*parts, strict=True), strict=True))
+            # rows instead of ids: an id can be repeated
+            place = np.arange(len(c_id))
+            who, what, score, _ = best_of_block(-1 - np.arange(len(q)), q, [np.zeros(1, np.int64)] * len(q), place, c, np.zeros(len(c), np.int64), 2 * k + 1)
+            keep, at = np.unique(what, return_inverse=True)
+            near_id, near, near_norm, found = c_id[keep], c[keep], norm[keep], (-1 - who, at, score)
+
+        held, rows = [], 0
+        for b, x, norms, _ in _rows_of(batches, dims):
+            held.append((np.asarray(b.column(0)), x, norms))
+            rows += len(x)
+            if rows >= STEP:
+                compared(held)
+                held, rows = [], 0
+        if held:
+            compared(held)
+        if found is None:
+            return
+        who, at, score = found
+        other = ids[who] != near_id[at]
+        who, at, score = who[other], at[other], score[other]
+        # candidates longer than the cut are compared with every query
+        need = np.where(near_norm[at] > cut, 0, needed_axes(units(q)[who], units(near)[at], Polytope(dims))) if len(who) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(near_id[at]), pa.array(score), pa.array(need, pa.int32())], ["query_id", "vec_id", "score", "need"])
+
+    found = pool.select("id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score double, need int")
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("need").alias("need"))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    counts = merged.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).groupBy("need").agg(F.count(F.lit(1)).alias("n")).orderBy("need").collect()
+    found_by = np.cumsum([r["n"] for r in counts])
+    return max(1, counts[int(np.argmax(found_by >= recall * found_by[-1]))]["need"]) if counts else 1
+
+
+def fixed_axes(dims: int, probed: float) -> int:
+    """The share `probed` of a table's signed axes."""
     width = max(WIDTH, 1 << max(1, (dims - 1).bit_length()))
-    return max(1, min(2 * width, math.ceil(2 * width * probed * (10_000 / max(1, n)) ** FALL)))
+    return max(1, min(2 * width, round(2 * width * probed)))
 
 
-def _of_length(pool: DataFrame, asked: DataFrame, size, k: int, probed: float) -> DataFrame:
+def _of_length(pool: DataFrame, asked: DataFrame, size, k: int, probed: float | None) -> DataFrame:
     """What nearest() gives for vectors of one length; size has it, and the number and norms of the candidates."""
     dims, n, high, low = size["dims"], size["n"], size["high"], size["low"]
     cut = float("inf") if high - low <= 1e-3 * high or size["cut"] >= high else size["cut"]
     width = max(WIDTH, 1 << max(1, (dims - 1).bit_length()))
     parts = max(1, min(2 * width, -(-n // CHUNK)))
     index = _hashed(pool, dims, cut, parts)
-    probes = _probed(asked, dims, parts, probed_axes(n, dims, probed), cut < float("inf"))
+    many = probed_axes(pool, asked, dims, cut, k) if probed is None else fixed_axes(dims, probed)
+    probes = _probed(asked, dims, parts, many, cut < float("inf"))
     out = saved(_best(index, probes, dims, k), "neighbours")
     # queries whose list is short though there are candidates: these are compared with all of them
     got = out.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -251,14 +318,14 @@ def _sizes(pool: DataFrame) -> list:
     return pool.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("high"), F.min("norm").alias("low"), F.percentile_approx("norm", 1 - LONG, 10_000).alias("cut")).orderBy("dims").collect()
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, probed: float = PROBED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, probed: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by largest inner product of the original vectors.
 
     A candidate with the query's own id takes no part, nor do vectors that are null, zero, or hold null or non-finite
     components; a query meets candidates of its own length only. Ties go to the smaller id; an id that is
     repeated among the candidates counts once, with its best score, and repeated queries share one list. Products beyond the range of doubles are infinite, and
-    last if they are no number. Every candidate is in each of TABLES tables; a query probes the nearest signed axes of each: the share
-    `probed` of them among 10,000 candidates, fewer among more (see probed_axes). Tables know directions only: where lengths differ, every
+    last if they are no number. Every candidate is in each of TABLES tables; a query probes the nearest signed axes of each: as many as
+    a sample of the queries takes to find RECALL of its nearest (see probed_axes), or the share `probed` of them if that is given. Tables know directions only: where lengths differ, every
     query is compared with the LONG longest candidates besides, as these can be best in any direction. A
     query that finds fewer than k although there are more is compared with all candidates. Buckets are dealt out in
     parts, and large parts cut into blocks of bounded size; each block reports k candidates of each query, so no pair of vectors is ever a row.
@@ -274,7 +341,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, probed: floa
     return out
 
 
-def share_examined(queries: DataFrame, candidates: DataFrame, probed: float = PROBED, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+def share_examined(queries: DataFrame, candidates: DataFrame, probed: float | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """Comparisons that nearest() makes in its tables, for each pair of a query and a candidate; a pair that meets in two tables counts twice."""
     pool, asked = _plain(candidates, id_col, vector_col), _plain(queries, id_col, vector_col)
     made = all_ = 0
@@ -282,7 +349,8 @@ def share_examined(queries: DataFrame, candidates: DataFrame, probed: float = PR
         mine, theirs = pool.where(F.size("v") == s["dims"]), asked.where(F.size("v") == s["dims"])
         width = max(WIDTH, 1 << max(1, (s["dims"] - 1).bit_length()))
         parts = max(1, min(2 * width, -(-s["n"] // CHUNK)))
-        blocks = _best(_hashed(mine, s["dims"], float("inf"), parts), _probed(theirs, s["dims"], parts, probed_axes(s["n"], s["dims"], probed), False), s["dims"], 1, True)
+        many = probed_axes(mine, theirs, s["dims"], float("inf"), k) if probed is None else fixed_axes(s["dims"], probed)
+        blocks = _best(_hashed(mine, s["dims"], float("inf"), parts), _probed(theirs, s["dims"], parts, many, False), s["dims"], 1, True)
         made += blocks.agg(F.sum("compared")).first()[0] or 0
         all_ += s["n"] * theirs.count()
     return made / max(1, all_)

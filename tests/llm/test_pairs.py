@@ -132,3 +132,30 @@ def test_no_vectors(spark):
     assert neighbours.nearest(table, table.where("false")).count() == 0
     assert neighbours.nearest(table.where("false"), table).count() == 0
     assert neighbours.nearest(table, table).count() == 0
+
+
+def unit(x):
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def test_far_candidates_change_no_list(spark):
+    rng = np.random.default_rng(5)
+    along = np.eye(24)[0]
+    near = unit(3 * along + 0.6 * rng.standard_normal((600, 24)))
+    far = unit(-3 * along + 0.6 * rng.standard_normal((6000, 24)))
+    table, more = vectors(spark, enumerate(near)), vectors(spark, ((1000 + k, v) for k, v in enumerate(far)))
+    queries = table.where("vec_id % 10 = 0")
+    # a list of five is full in either table, so none is completed by comparing all candidates
+    assert listed(neighbours.nearest(queries, table.unionByName(more), 5)) == listed(neighbours.nearest(queries, table, 5))
+
+
+def test_recall_of_vectors_without_structure(spark):
+    x = unit(np.random.default_rng(6).standard_normal((6000, 128)))
+    table = vectors(spark, enumerate(x))
+    got = listed(neighbours.nearest(table.where("vec_id % 60 = 0"), table, 20))
+    right = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        right += len(set(np.argsort(-scores)[:20]) & {i for _, i, _ in found})
+    assert len(got) == 100 and right >= 0.9 * 20 * len(got)
