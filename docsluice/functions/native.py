@@ -348,7 +348,7 @@ PLAIN: dict[str, Callable[[Val], Val]] = {
     "hex_encode": _text(lambda c: F.lower(F.hex(c.cast("binary")))), "hex_decode": _text(lambda c: F.decode(F.unhex(c), "UTF-8")), "base64_encode": _text(lambda c: F.regexp_replace(F.base64(c.cast("binary")), r"[\r\n]", "")),
     "base64_decode": _text(lambda c: F.decode(F.unbase64(c), "UTF-8")), "base64url_encode": _text(lambda c: F.translate(F.regexp_replace(F.base64(c.cast("binary")), r"[\r\n=]", ""), "+/", "-_")),
     "base64url_decode": _text(lambda c: F.decode(F.unbase64(F.translate(c, "-_", "+/")), "UTF-8")),
-    "todate": lambda v: Val(F.date_format(F.timestamp_seconds(F.floor(v.column)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), TEXT), "todateiso8601": lambda v: PLAIN["todate"](v), "fromdate": _text(lambda c: F.unix_seconds(F.to_timestamp(c, "yyyy-MM-dd'T'HH:mm:ssX")), LONG),
+    "todate": lambda v: Val(dated(v.column, "yyyy-MM-dd'T'HH:mm:ss'Z'"), TEXT), "todateiso8601": lambda v: PLAIN["todate"](v), "fromdate": _text(lambda c: F.unix_seconds(F.to_timestamp(F.when(c.rlike("^[0-9]{5,}-"), F.concat(F.lit("+"), c)).otherwise(c), "yyyy-MM-dd'T'HH:mm:ssX")), LONG),
     "fromdateiso8601": lambda v: PLAIN["fromdate"](v), "gmtime": _gmtime, "first": lambda v: Val(F.get(v.column, 0), v.type.elementType), "last": lambda v: Val(F.try_element_at(v.column, F.lit(-1)), v.type.elementType),
     "reverse": lambda v: Val(F.reverse(v.column), v.type), "sort": _of_array(_ordered), "unique": _of_array(_unique), "min": _of_array(lambda v: F.get(_ordered(v), 0), True),
     "max": _of_array(lambda v: F.try_element_at(_ordered(v), F.lit(-1)), True), "flatten": _flat, "add": lambda v: fold_array(v), "keys": lambda v: keys(v), "toboolean": lambda v: v if isinstance(v.type, T.BooleanType) else _text(_boolean, BOOL)(v),
@@ -437,7 +437,13 @@ def strftime(v: Val, f: Val) -> Val:
             out, k = out + DIRECTIVES[code], k + 2
         else:
             out, k = out + ("'" + pattern[k] + "'" if pattern[k].isalpha() else pattern[k]), k + 1
-    return Val(F.date_format(F.timestamp_seconds(F.floor(v.column)), out), TEXT)
+    return Val(dated(v.column, out), TEXT)
+
+
+def dated(c: Column, pattern: str) -> Column:
+    """Seconds as text; years of more than four digits have no sign, which Spark puts before them in `yyyy` alone."""
+    t = F.timestamp_seconds(F.floor(c))
+    return F.when(F.year(t) > 9999, F.date_format(t, pattern.replace("yyyy", "y"))).otherwise(F.date_format(t, pattern)) if "yyyy" in pattern else F.date_format(t, pattern)
 
 
 def formatted(name: str, v: Val) -> Column:
