@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -266,10 +268,110 @@ def _log(f):
 
 
 def _gmtime(v: Val) -> Val:
-    c = v.column.cast("double")
+    if not v.numeric:
+        raise Unsupported("a number required")
+    c = required(v, "gmtime() requires a number").column.cast("double")
     t = F.timestamp_seconds(F.floor(c))
     parts = [F.year(t), F.month(t) - 1, F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t) + (c - F.floor(c)), F.dayofweek(t) - 1, F.dayofyear(t) - 1]
-    return Val(F.array(*[p.cast("double") for p in parts]), T.ArrayType(DOUBLE))
+    out = Val(F.array(*[p.cast("double") for p in parts]), T.ArrayType(DOUBLE))
+    out.seconds = F.floor(c)
+    return out
+
+
+def named(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that it names more than once, which then is worked out, and written into the plan, once."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
+#: Days of 400 years, after which dates repeat.
+CYCLE = 146097
+
+
+def days_from(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970 of a year, a month from 1 and a day, by the year from 2000 to 2399 with the same calendar."""
+    alike = 2000 + F.pmod(year, F.lit(400))
+    return F.unix_date(F.make_date(alike.cast("int"), month.cast("int"), F.lit(1))) + F.floor((year - alike) / 400) * CYCLE + day - 1
+
+
+def _mktime(v: Val) -> Val:
+    if not (isinstance(v.type, T.ArrayType) and isinstance(v.type.elementType, NUMERIC)):
+        raise Unsupported("a broken-down time required")
+    if (seconds := getattr(v, "seconds", None)) is not None:
+        return Val(seconds.cast("long"), LONG)
+    lacking = F.raise_error(F.lit("mktime requires parsed datetime inputs")).cast("long")
+    y, mo, d, h, mi, s = (F.coalesce(F.floor(F.get(v.column, k)), F.when(F.size(v.column) > k, lacking).otherwise(F.lit(0).cast("long"))) for k in range(6))
+    out = days_from(y + F.floor(mo / 12), F.pmod(mo, F.lit(12)) + 1, d) * 86400 + h * 3600 + mi * 60 + s
+    return Val(out.cast("long"), LONG)
+
+
+# fixed values: directives of strptime and what each matches
+PARSED = {"%Y": r"(\d{4})", "%m": r"(1[0-2]|0[1-9]|[1-9])", "%d": r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])", "%H": r"(2[0-3]|[01]\d|\d)", "%M": r"([0-5]\d|\d)", "%S": r"([0-5]\d|\d)"}
+
+
+def _strptime(v: Val, f: Val) -> Val:
+    """A text by a literal format of digits, as a broken-down time."""
+    form = literal_of(f).replace("%F", "%Y-%m-%d").replace("%T", "%H:%M:%S")
+    if not isinstance(v.type, T.StringType):
+        raise Unsupported("a string required")
+    pattern, found = "", []
+    for k, (directive, other) in enumerate(parts := re.findall(r"(%.?)|([^%]+)", form)):
+        if not directive:
+            if not re.fullmatch(r"[-/:.,_ T]+", other):
+                raise Unsupported(f"{other} in a format")
+            pattern += "".join(r"\s+" if w[0] == " " else re.escape(w) for w in re.findall(r" +|[^ ]+", other))
+            continue
+        if directive not in PARSED or directive in found:
+            raise Unsupported(directive)
+        found.append(directive)
+        pattern += r"(\d{4,})" if directive == "%Y" and not (k + 1 < len(parts) and parts[k + 1][0]) else PARSED[directive]
+    if not found:
+        raise Unsupported("a format without directives")
+    c = required(v, "strptime/1 requires string inputs and arguments").column
+    whole = rf"^{pattern}\z"
+
+    def seconds(c: Column) -> Column:
+        none = F.raise_error(F.concat(F.lit('date "'), c, F.lit(f'" does not match format "{literal_of(f)}"'))).cast("long")
+
+        def of(cells: Column) -> Column:
+            at = {x: F.trim(F.get(cells, k)).cast("long") for k, x in enumerate(found)}
+            y, mo, d = at.get("%Y", F.lit(1900)), at.get("%m", F.lit(1)), at.get("%d", F.lit(1))
+            h, mi, s = (at.get(x, F.lit(0)) for x in ("%H", "%M", "%S"))
+            last = F.dayofmonth(F.last_day(F.make_date((2000 + F.pmod(y, F.lit(400))).cast("int"), mo.cast("int"), F.lit(1))))
+            return F.when(d <= last, days_from(y, mo, d) * 86400 + h * 3600 + mi * 60 + s).otherwise(none)
+
+        cells = F.split(F.regexp_replace(c, whole, "|".join(f"${k + 1}" for k in range(len(found)))), r"\|")
+        return F.when(F.rlike(c, F.lit(whole)), named(cells, of)).otherwise(none)
+
+    return _gmtime(Val(named(c, seconds).cast("long"), LONG))
+
+
+def _torfc3339(v: Val) -> Val:
+    if not isinstance(v.type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise Unsupported("a whole number required")
+    return Val(dated(required(v, "requires a number").column, "yyyy-MM-dd'T'HH:mm:ss'Z'"), TEXT)
+
+
+RFC3339 = r"^([0-9]{4,}-[0-9][0-9]-[0-9][0-9])[Tt ]([0-9][0-9]:[0-9][0-9]:[0-9][0-9])(\.[0-9]+)?([Zz]|[+-][0-9][0-9]:[0-9][0-9])\z"
+
+
+def _fromrfc3339(text: Column) -> Column:
+    def seconds(c: Column) -> Column:
+        plain = F.concat(F.when(F.rlike(c, F.lit("^[0-9]{5,}-")), "+").otherwise(""), F.upper(F.regexp_replace(c, RFC3339, "$1T$2$4")))
+        part = F.coalesce(F.nullif(F.regexp_extract(c, RFC3339, 3), F.lit("")).cast("double"), F.lit(0.0))
+        none = F.raise_error(F.concat(c, F.lit(" is not an RFC 3339 time"))).cast("double")
+        return F.when(F.rlike(c, F.lit(RFC3339)), F.unix_seconds(F.to_timestamp(plain, "yyyy-MM-dd'T'HH:mm:ssXXX")) + part).otherwise(none)
+
+    return named(text, seconds)
+
+
+def _local(f: Callable[..., Val]) -> Callable[..., Val]:
+    """What looks at the local time, where that is UTC."""
+    def run(v: Val, *args: Val) -> Val:
+        if time.timezone or time.daylight:
+            raise Unsupported("a local time")
+        return f(v, *args)
+
+    return run
 
 
 def length(v: Val) -> Val:
@@ -349,7 +451,8 @@ PLAIN: dict[str, Callable[[Val], Val]] = {
     "base64_decode": _text(lambda c: F.decode(F.unbase64(c), "UTF-8")), "base64url_encode": _text(lambda c: F.translate(F.regexp_replace(F.base64(c.cast("binary")), r"[\r\n=]", ""), "+/", "-_")),
     "base64url_decode": _text(lambda c: F.decode(F.unbase64(F.translate(c, "-_", "+/")), "UTF-8")),
     "todate": lambda v: Val(dated(v.column, "yyyy-MM-dd'T'HH:mm:ss'Z'"), TEXT), "todateiso8601": lambda v: PLAIN["todate"](v), "fromdate": _text(lambda c: F.unix_seconds(F.to_timestamp(F.when(c.rlike("^[0-9]{5,}-"), F.concat(F.lit("+"), c)).otherwise(c), "yyyy-MM-dd'T'HH:mm:ssX")), LONG),
-    "fromdateiso8601": lambda v: PLAIN["fromdate"](v), "gmtime": _gmtime, "first": lambda v: Val(F.get(v.column, 0), v.type.elementType), "last": lambda v: Val(F.try_element_at(v.column, F.lit(-1)), v.type.elementType),
+    "fromdateiso8601": lambda v: PLAIN["fromdate"](v), "gmtime": _gmtime, "mktime": _mktime, "localtime": _local(_gmtime), "torfc3339": _torfc3339, "fromrfc3339": _text(_fromrfc3339, DOUBLE),
+    "now": lambda v: Val(F.unix_micros(F.current_timestamp()) / 1e6, DOUBLE), "first": lambda v: Val(F.get(v.column, 0), v.type.elementType), "last": lambda v: Val(F.try_element_at(v.column, F.lit(-1)), v.type.elementType),
     "reverse": lambda v: Val(F.reverse(v.column), v.type), "sort": _of_array(_ordered), "unique": _of_array(_unique), "min": _of_array(lambda v: F.get(_ordered(v), 0), True),
     "max": _of_array(lambda v: F.try_element_at(_ordered(v), F.lit(-1)), True), "flatten": _flat, "add": lambda v: fold_array(v), "keys": lambda v: keys(v), "toboolean": lambda v: v if isinstance(v.type, T.BooleanType) else _text(_boolean, BOOL)(v),
     "tonumber": lambda v: v if v.numeric else Val(v.column.cast("double"), DOUBLE), "tojson": lambda v: Val(F.when(v.column.isNull(), "null").otherwise(F.to_json(F.struct(v.column.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.column.alias("v")))) - 6) if not isinstance(v.type, (T.StructType, T.ArrayType)) else F.to_json(v.column)), TEXT),
@@ -415,7 +518,7 @@ WITH: dict[tuple[str, int], Callable[..., Val]] = {
     ("fma", 3): lambda v, a, b, c: Val(a.column.cast("double") * b.column.cast("double") + c.column.cast("double"), DOUBLE), ("log", 1): lambda v, b: Val(F.ln(v.column.cast("double")) / F.ln(b.column.cast("double")), DOUBLE),
     ("edit_distance", 1): _text(lambda a, b: F.levenshtein(F.lower(a), F.lower(b)).cast("long"), LONG), ("similarity", 1): _text(lambda a, b: F.when(F.greatest(F.length(a), F.length(b)) == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(F.length(a), F.length(b))), DOUBLE),
     ("has", 1): lambda v, k: Val((k.column >= 0) & (k.column < F.size(v.column)) if isinstance(v.type, T.ArrayType) else F.map_contains_key(v.column, k.column), BOOL), ("redact", 1): _text(lambda c, p: F.regexp_replace(c, p, F.lit("[REDACTED]"))),
-    ("strftime", 1): lambda v, f: strftime(v, f), ("bsearch", 1): lambda v, x: Val(F.when(F.array_contains(v.column, x.column), F.array_position(v.column, x.column) - 1).otherwise(-1 - F.size(F.filter(v.column, lambda y: y < x.column))), LONG),
+    ("strftime", 1): lambda v, f: strftime(v, f), ("strflocaltime", 1): _local(lambda v, f: strftime(v, f)), ("strptime", 1): _strptime, ("bsearch", 1): lambda v, x: Val(F.when(F.array_contains(v.column, x.column), F.array_position(v.column, x.column) - 1).otherwise(-1 - F.size(F.filter(v.column, lambda y: y < x.column))), LONG),
     ("union", 2): lambda v, a, b: Val(F.sort_array(F.array_union(a.column, b.column)), a.type), ("intersect", 2): lambda v, a, b: Val(F.sort_array(F.array_intersect(a.column, b.column)), a.type), ("except", 2): lambda v, a, b: Val(F.sort_array(F.array_except(a.column, b.column)), a.type),
     ("parse_url", 0): lambda v: obj({"scheme": Val(F.lower(F.parse_url(v.column, F.lit("PROTOCOL"))), TEXT), "host": Val(F.parse_url(v.column, F.lit("HOST")), TEXT), "path": Val(F.parse_url(v.column, F.lit("PATH")), TEXT), "query": Val(F.parse_url(v.column, F.lit("QUERY")), TEXT)}),
 }
@@ -428,6 +531,9 @@ def strftime(v: Val, f: Val) -> Val:
     pattern = getattr(f, "literal", None)
     if pattern is None:
         raise Unsupported("a format that isn't a literal")
+    if not v.numeric:
+        raise Unsupported("a number required")
+    v = required(v, "strftime/1 requires parsed datetime inputs")
     out, k = "", 0
     while k < len(pattern):
         if pattern[k] == "%":

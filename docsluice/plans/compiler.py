@@ -1227,6 +1227,26 @@ def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str, argume
     raise Unsupported("no records to run this on")
 
 
+def _typed(df: DataFrame, schema: str) -> DataFrame:
+    """A plan's columns in the types of a schema: numbers that do not fit are null, as they are from the evaluator."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+    def fitted(c: Column, given: T.DataType, t: T.DataType) -> Column:
+        if given == t or isinstance(given, T.NullType):
+            return c if given == t else c.cast(t)
+        if isinstance(given, whole) and isinstance(t, (T.LongType, T.DoubleType)):
+            return c.cast(t)
+        if isinstance(given, (T.FloatType, T.DoubleType)) and isinstance(t, T.LongType):
+            return F.when((c == F.floor(c)) & (F.abs(c) < float(1 << 63)), c.cast("long"))
+        if isinstance(given, T.ArrayType) and isinstance(t, T.ArrayType):
+            return c.cast(t) if given.elementType == t.elementType else F.transform(c, lambda x: fitted(x, given.elementType, t.elementType))
+        raise Unsupported(f"{given.simpleString()} as {t.simpleString()}")
+
+    given = {f.name: f.dataType for f in df.schema.fields}
+    wanted = T._parse_datatype_string(schema).fields
+    return df.select(*[(fitted(F.col(f"`{f.name}`"), given[f.name], f.dataType) if f.name in given else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
+
+
 def _constants(arguments: dict) -> dict[str, Val]:
     """The arguments that are single values, as columns."""
     out = {k: lit(v) for k, v in arguments.items() if v is None or isinstance(v, (bool, int, float, str))}
@@ -1267,7 +1287,8 @@ def compile_program(
     tree = parse(text)
     if schema is None or on_error == "raise":
         try:
-            return compiler.result(compiler.run(tree, at, _constants(arguments or {})), sort)
+            out = compiler.result(compiler.run(tree, at, _constants(arguments or {})), sort)
+            return out if schema is None else _typed(out, schema)
         except Unsupported:
             if schema is None:
                 raise
