@@ -20,6 +20,13 @@ def values(*names: str, arity: int = 0) -> Callable:
     def keep(f: Callable[..., Any]) -> Callable[..., Any]:
         def run(env, v, path, *args):
             mark = None if path is None else _nowhere()
+            if not args:
+                yield f(v), mark
+                return
+            if len(args) == 1:
+                for x, _ in args[0](env, v, None):
+                    yield f(v, x), mark
+                return
 
             def go(i, got):
                 if i == len(args):

@@ -23,6 +23,9 @@ from docsluice.lang.values import dumps
 ON_ERROR = ("raise", "skip", "report")
 
 
+#: Tasks for each core, where records are dealt out.
+TASKS = 4
+
 #: Calls with arguments that look at their input by these alone.
 OF_ARGUMENTS = {"add", "counter", "deltas", "empty", "ewma", "first", "isempty", "lag", "last", "limit", "moving_avg", "moving_max", "moving_min", "moving_sum", "pow", "range", "running", "skip", "windows"}
 #: Nodes that look at their input by their parts alone.
@@ -129,6 +132,13 @@ def _schema(schema: str, on_error: str) -> T.StructType:
     return T.StructType([*out.fields, T.StructField("error", T.StringType())]) if on_error == "report" else out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of files dealt out to all cores: a file is read by as many tasks as it has row groups, which can be one."""
+    if df.isStreaming or not df.inputFiles():
+        return df
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def over_records(df: DataFrame, node: Node, schema: str = "value string", on_error: str = "raise", whole: str | None = None) -> DataFrame:
     """The outputs of a program on each row of df as an object (or on its column `whole`), as rows of `schema`.
 
@@ -137,6 +147,7 @@ def over_records(df: DataFrame, node: Node, schema: str = "value string", on_err
     """
     read = None if whole else fields_read(node)
     df = df.select(whole) if whole else df if read is None else df.select(*[f"`{c}`" for c in df.columns if c in read] or df.columns[:1])
+    df = spread(df)
     out = _schema(schema, on_error)
     arrow = to_arrow_schema(out)
 
