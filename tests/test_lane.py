@@ -37,3 +37,12 @@ def test_objects_of_several_outputs_are_lazy_and_in_order():
 def test_random_numbers_are_made_when_asked_for():
     run = Run(seed=7)
     assert "random" not in vars(run) and run.random.random() == Run(seed=7).random.random()
+
+
+def test_while_and_until_are_deep_and_have_all_outputs():
+    assert evaluate("until(. > 20000; . + 1)", 0) == [20001]
+    assert evaluate("last(while(. < 20000; . + 1))", 0) == [19999]
+    old = "def w(c; u): def w: if c then ., (u | w) else empty end; w; def n(c; u): def w: if c then . else (u | w) end; w; "
+    for mine, theirs in (("while(. < 9; (. * 2, . + 5))", "w(. < 9; (. * 2, . + 5))"), ("until(. > 9, . > 20; (. * 2, . + 5))", "n(. > 9, . > 20; (. * 2, . + 5))"), ("[limit(3; until(. > 1; error), 1)]?", "[limit(3; n(. > 1; error), 1)]?")):
+        assert evaluate(f"[{mine}]", 1) == evaluate(f"{old}[{theirs}]", 1)
+    assert evaluate('[path(while(type == "object"; .a))]', {"a": {"a": 1}}) == [[[], ["a"]]]
