@@ -1211,7 +1211,7 @@ def _lane(compiler: Compiler, tree: Node, at, schema: str, on_error: str, argume
             continue
         if isinstance(out, Rows) and not out.table:
             r = compiler.settled(out)
-            return over_records(compiler.plain(r), rest_of(cut), schema, on_error, None if r.elem.fields is not None else "value")
+            return over_records(compiler.plain(r), rest_of(cut), schema, on_error, None if r.elem.fields is not None else "value", dealt=True)
         first = steps[cut]
         each = first == ("each", ("identity",))
         if isinstance(out, Groups) and not out.stream and (each or first[0] == "call" and first[1] == "map"):

@@ -139,15 +139,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def over_records(df: DataFrame, node: Node, schema: str = "value string", on_error: str = "raise", whole: str | None = None) -> DataFrame:
+def over_records(df: DataFrame, node: Node, schema: str = "value string", on_error: str = "raise", whole: str | None = None, dealt: bool = False) -> DataFrame:
     """The outputs of a program on each row of df as an object (or on its column `whole`), as rows of `schema`.
 
     With the one column `value`, that has each output; else an output is an object and columns are its members. Rows
-    without outputs leave none. Empty tables give empty tables.
+    without outputs leave none. Empty tables give empty tables. `dealt`: rows of files go to all cores first, and lose the file's order.
     """
     read = None if whole else fields_read(node)
     df = df.select(whole) if whole else df if read is None else df.select(*[f"`{c}`" for c in df.columns if c in read] or df.columns[:1])
-    df = spread(df)
+    df = spread(df) if dealt else df
     out = _schema(schema, on_error)
     arrow = to_arrow_schema(out)
 
