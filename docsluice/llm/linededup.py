@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsluice.functions.native import named
 from docsluice.llm._common import forget, saved, sent_if_small
 
 #: Words of a token.
@@ -19,21 +20,33 @@ SENT = 1_000_000
 LINE = ["doc_id", "text_hash", "line"]
 
 
+def _blanks(text: Column) -> Column:
+    """White space but line feeds as spaces."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, x) of every line with words; line counts from 0. White space in x is spaces."""
-    text = F.col("text")
-    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
-    plain = F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
-    return docs.select("doc_id", "text_hash", F.posexplode(F.split(plain, "\n")).alias("line", "x")).where(F.trim("x") != "")
+    return docs.select("doc_id", "text_hash", F.posexplode(F.split(_blanks(F.col("text")), "\n")).alias("line", "x")).where(F.trim("x") != "")
 
 
 def _token_sets(lines: DataFrame, width: int) -> DataFrame:
-    """lines (.., x) with tokens: sorted distinct hashes of `width` words in a row, or of all if there are fewer."""
-    hashed = lines.withColumn("hashes", F.transform(F.array_remove(F.split("x", " "), ""), lambda w: F.xxhash64(w))).drop("x")
-    n = F.size("hashes")
-    rows = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(width)]))
-    tokens = F.when(n >= width, rows).otherwise(F.array(F.xxhash64("hashes")))
-    return hashed.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("hashes")
+    """lines (.., x) with tokens: sorted distinct hashes of `width` words in a row, or of all if there are fewer.
+
+    One expression, so that the hashes of words stay what they are between its steps and are not packed into rows.
+    """
+
+    def of(hashes: Column) -> Column:
+        n = F.size(hashes)
+        rows = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+        return F.when(n >= width, rows).otherwise(F.array(F.xxhash64(hashes)))
+
+    cells = F.split("x", " ")
+    # only lines with spaces in a row, or at an end, have empty cells
+    gaps = F.contains("x", F.lit("  ")) | F.startswith("x", F.lit(" ")) | F.endswith("x", F.lit(" "))
+    hashes = F.transform(F.when(gaps, F.filter(cells, lambda w: w != "")).otherwise(cells), lambda w: F.xxhash64(w))
+    return lines.withColumn("tokens", F.array_distinct(F.sort_array(named(hashes, of)))).drop("x")
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -97,12 +110,17 @@ class _Join:
         self.docs, self.sets, self.width, self.percent = docs, sets, width, percent
 
     def full(self, ids: DataFrame) -> DataFrame:
-        """(set_no, tokens, place), built again from the text of each set's first line; as often as that text is repeated."""
-        at = saved(self.sets.join(sent_if_small(ids, SENT), "set_no").select("set_no", *[F.col(c).alias(f"w_{c}") for c in LINE]), "wanted")
-        same_text = F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("text_hash") == F.col("w_text_hash"))
-        texts = self.docs.join(sent_if_small(at.select("w_doc_id", "w_text_hash").distinct(), SENT), same_text, "left_semi")
-        lines = _lines(texts).join(sent_if_small(at, SENT), same_text & (F.col("line") == F.col("w_line")))
-        return _token_sets(lines.select("set_no", F.struct(*LINE).alias("place"), "x"), self.width)
+        """(set_no, tokens, place), built again from the text of each set's first line; as often as that text is repeated.
+
+        Only the lines that are asked for leave their text.
+        """
+        at = saved(self.sets.join(sent_if_small(ids, SENT), "set_no").select("set_no", *LINE), "wanted")
+        asked = at.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("text_hash").alias("w_text_hash")).agg(F.collect_list(F.struct("set_no", "line")).alias("wanted"))
+        asked = F.broadcast(asked) if at.limit(SENT + 1).count() <= SENT else asked
+        texts = self.docs.join(asked, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("text_hash") == F.col("w_text_hash")))
+        cut = named(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda w: F.struct(w["set_no"].alias("set_no"), w["line"].alias("line"), F.get(parts, w["line"]).alias("x"))))
+        lines = texts.select("doc_id", "text_hash", F.inline(cut)).select("set_no", F.struct(*LINE).alias("place"), _blanks(F.col("x")).alias("x"))
+        return _token_sets(lines, self.width)
 
     def postings(self) -> tuple[DataFrame, DataFrame]:
         """(token, ranked, set_no, n, at): what sets that can be similar have in common, in the order of their tokens; and (set_no, tokens) of the ranked.
@@ -189,7 +207,7 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
     marks = sets.select("set_no", "copies", *ident, F.struct(*LINE).alias("f")).join(later, "set_no", "left").where("copies > 1 OR later").drop("set_no", "copies")
     gone = lines.select(*LINE, *ident).join(marks, ident).where(F.col("later").isNotNull() | ~F.struct(*LINE).eqNullSafe(F.col("f")))
     of = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "removed")
-    rows = docs.select("doc_id", "text_hash", F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    rows = docs.select("doc_id", "text_hash", F.when(F.col("text") == "", 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     out = rows.join(of, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left").drop("g_id", "g_hash")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "text_hash", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

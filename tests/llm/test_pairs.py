@@ -159,3 +159,16 @@ def test_recall_of_vectors_without_structure(spark):
         scores[q] = -np.inf
         right += len(set(np.argsort(-scores)[:20]) & {i for _, i, _ in found})
     assert len(got) == 100 and right >= 0.9 * 20 * len(got)
+
+
+def test_sets_are_built_again_from_the_lines_asked_for(spark, tmp_path):
+    """Only these leave their text, once for each row that repeats it."""
+    text = "  a b  c d e f\tg \n\nx\ny  z"
+    docs = spark.createDataFrame([(1, text), (None, text), (None, text)], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    lines = linededup._token_sets(linededup._lines(docs), 5)
+    sets = lines.where("doc_id IS NULL").dropDuplicates(["line"]).select(F.col("line").cast("long").alias("set_no"), "doc_id", "text_hash", "line").localCheckpoint()
+    found = linededup._Join(docs, sets, 5, 80).full(sets.where("set_no > 0").select("set_no"))
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {(r.line, tuple(r.tokens)) for r in lines.where("line > 0").collect()}
+    rows = [(r.set_no, tuple(r.tokens)) for r in found.collect()]
+    assert set(rows) == wanted and len(rows) == 2 * len(wanted) == 4
