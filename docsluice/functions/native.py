@@ -428,6 +428,19 @@ def _flat(v: Val) -> Val:
     return v
 
 
+def _implode(v: Val) -> Val:
+    """The text of code points: one decoding of all of them, behind a byte order mark that it takes off."""
+    if not (isinstance(v.type, T.ArrayType) and isinstance(v.type.elementType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))):
+        raise Unsupported("an array of whole numbers required")
+
+    def point(x: Column) -> Column:
+        lacking = F.raise_error(F.lit("Unicode codepoint must be numeric")).cast("long")
+        return F.when(x.isNull(), lacking).when(x.between(0, 0xD7FF) | x.between(0xE000, 0x10FFFF), x.cast("long")).otherwise(F.lit(0xFFFD).cast("long"))
+
+    digits = F.transform(required(v, "cannot be imploded").column, lambda x: F.lpad(F.hex(point(x)), 8, "0"))
+    return Val(F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(digits, ""))), "UTF-32"), TEXT)
+
+
 def _boolean(c: Column) -> Column:
     return F.when(c == "true", True).when(c == "false", False).otherwise(F.raise_error(F.concat(F.lit("cannot be parsed as a boolean: "), c)).cast("boolean"))
 
@@ -446,7 +459,7 @@ PLAIN: dict[str, Callable[[Val], Val]] = {
     "ascii_downcase": _text(lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), "ascii_upcase": _text(lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
     "utf8bytelength": _text(lambda c: F.octet_length(c).cast("long"), LONG), "trim": _text(lambda c: F.regexp_replace(c, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", "")), "ltrim": _text(lambda c: F.regexp_replace(c, r"^[\p{IsWhite_Space}]+", "")),
     "rtrim": _text(lambda c: F.regexp_replace(c, r"[\p{IsWhite_Space}]+$", "")), "explode": _text(lambda c: F.when(c == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(c, ""), F.ascii)), T.ArrayType(T.IntegerType())),
-    "md5": _text(F.md5), "sha1": _text(F.sha1), "sha256": _text(lambda c: F.sha2(c, 256)), "sha512": _text(lambda c: F.sha2(c, 512)), "crc32": _text(lambda c: F.lpad(F.lower(F.hex(F.crc32(c.cast("binary")))), 8, "0")),
+    "implode": _implode, "md5": _text(F.md5), "sha1": _text(F.sha1), "sha256": _text(lambda c: F.sha2(c, 256)), "sha512": _text(lambda c: F.sha2(c, 512)), "crc32": _text(lambda c: F.lpad(F.lower(F.hex(F.crc32(c.cast("binary")))), 8, "0")),
     "hex_encode": _text(lambda c: F.lower(F.hex(c.cast("binary")))), "hex_decode": _text(lambda c: F.decode(F.unhex(c), "UTF-8")), "base64_encode": _text(lambda c: F.regexp_replace(F.base64(c.cast("binary")), r"[\r\n]", "")),
     "base64_decode": _text(lambda c: F.decode(F.unbase64(c), "UTF-8")), "base64url_encode": _text(lambda c: F.translate(F.regexp_replace(F.base64(c.cast("binary")), r"[\r\n=]", ""), "+/", "-_")),
     "base64url_decode": _text(lambda c: F.decode(F.unbase64(F.translate(c, "-_", "+/")), "UTF-8")),

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from docsluice.families import FAMILIES
 from docsluice.functions.native import Unsupported
 from docsluice.lang.evaluate import Raised, evaluate
 from docsluice.lang.parser import parse
@@ -137,3 +138,13 @@ def test_windows_of_groups_are_windows(spark):
     for call in ("windows(2; .[].v)", "moving_sum(2; .[].v)", "moving_avg(2; .[].v)", "moving_min(2; .[].v)", "moving_max(9; .[].v)", "lag(.[].v)", "deltas(.[].v)", "counter(.[].v)"):
         out = compile_program(f"group_by(.k) | .[] | {call}", table, ["t"])
         assert "Window" in plan_of(out) and sorted(map(str, (plain(r.value) for r in out.collect()))) == sorted(map(str, map(plain, evaluate(f"group_by(.k) | .[] | {call}", rows)))), call
+
+
+@pytest.mark.parametrize("program, sql, value", [("explode | implode", "'é😀a'", "é😀a"), ("explode | implode", "''", ""), ("implode", "array(65279, 97, 55296, -1, 1114112)", [65279, 97, 55296, -1, 1114112])])
+def test_code_points_are_plans(spark, program, sql, value):
+    out = compile_program(f".[] | {{x: (.x | {program})}}", spark.sql(f"SELECT {sql} AS x"))
+    assert out.collect()[0].x == evaluate(program, value)[0]
+
+
+def test_text_pieces_is_a_plan(spark):
+    assert "MapInArrow" not in plan_of(FAMILIES["text_pieces"](spark, "/root/testdata/sf0.001"))
