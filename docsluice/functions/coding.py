@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import hmac
 import quopri
+import re
 import secrets
 import time
 import urllib.parse
@@ -64,13 +65,15 @@ coded("base64url_encode", lambda b: base64.urlsafe_b64encode(b).decode().rstrip(
 decoded("base64url_decode", lambda b: base64.urlsafe_b64decode(b + b"=" * (-len(b) % 4)))
 coded("base32_encode", lambda b: base64.b32encode(b).decode())
 decoded("base32_decode", base64.b32decode)
-coded("percent_encode", lambda b: "".join(chr(c) if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~" else f"%{c:02x}" for c in b))
+#: What each byte is percent-encoded as.
+PERCENT = [chr(c) if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~" else f"%{c:02x}" for c in range(256)]
+coded("percent_encode", lambda b: "".join([PERCENT[c] for c in b]))
 decoded("percent_decode", urllib.parse.unquote_to_bytes)
 
 
 def _quoted(b: bytes) -> str:
-    out = quopri.encodestring(b).decode()
-    return "".join(c.lower() if i >= 2 and (out[i - 1] == "=" or out[i - 2] == "=") else c.lower() if i >= 1 and out[i - 1] == "=" else c for i, c in enumerate(out))
+    """Quoted-printable text with its digits in lower case; what is quoted is `=` and two of them, or a line's end."""
+    return re.sub("=..", lambda m: m.group().lower(), quopri.encodestring(b).decode())
 
 
 coded("quoted_printable_encode", _quoted)

@@ -46,3 +46,9 @@ def test_while_and_until_are_deep_and_have_all_outputs():
     for mine, theirs in (("while(. < 9; (. * 2, . + 5))", "w(. < 9; (. * 2, . + 5))"), ("until(. > 9, . > 20; (. * 2, . + 5))", "n(. > 9, . > 20; (. * 2, . + 5))"), ("[limit(3; until(. > 1; error), 1)]?", "[limit(3; n(. > 1; error), 1)]?")):
         assert evaluate(f"[{mine}]", 1) == evaluate(f"{old}[{theirs}]", 1)
     assert evaluate('[path(while(type == "object"; .a))]', {"a": {"a": 1}}) == [[[], ["a"]]]
+
+
+def test_quoted_printable_keeps_letters_after_soft_line_ends():
+    text = "A" * 200 + "=É" + "B" * 100
+    assert evaluate("quoted_printable_encode | quoted_printable_decode", text) == [text]
+    assert evaluate("quoted_printable_encode", "=É") == ["=3d=c3=89"]
