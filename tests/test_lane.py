@@ -52,3 +52,10 @@ def test_quoted_printable_keeps_letters_after_soft_line_ends():
     text = "A" * 200 + "=É" + "B" * 100
     assert evaluate("quoted_printable_encode | quoted_printable_decode", text) == [text]
     assert evaluate("quoted_printable_encode", "=É") == ["=3d=c3=89"]
+
+
+def test_texts_of_many_matches_are_replaced_without_recursion():
+    assert evaluate('gsub("a"; "b")', "a" * 20000) == ["b" * 20000]
+    assert evaluate('[gsub("(?<x>[ab])"; .x + "1", .x + "2")]', "a-b") == [["a1-b1", "a1-b2", "a2-b1", "a2-b2"]]
+    assert evaluate('[gsub("a"; empty)], [sub("z"; empty)], first(gsub("a"; "b", error))', "aa") == [[], ["aa"], "bb"]
+    assert evaluate('[match("(a)(?<x>b)?"; "g")]', "aab") == [[{"offset": k, "length": n, "string": t, "captures": [{"offset": k, "length": 1, "string": "a", "name": None}, {"offset": 2 if k else -1, "length": k, "string": "b" if k else None, "name": "x"}]} for k, n, t in ((0, 1, "a"), (1, 2, "ab"))]]
