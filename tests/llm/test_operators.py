@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -172,6 +173,57 @@ def test_toxicity_index_is_exact():
         assert np.allclose(scores, np.sort(cosines)[::-1][: len(scores)])
 
 
+def examples_of(rng, n, terms, words):
+    """Labelled examples whose words are as unevenly frequent as those of texts, the last ones copies of the first."""
+    share = 1 / np.arange(1, terms + 1)
+    some = [rng.choice(terms, words, p=share / share.sum()).tolist() for _ in range(n)]
+    some[-n // 10 :] = some[: n // 10]
+    return [(k, k % 2, toxicity.packed(Counter(w))) for k, w in enumerate(some)]
+
+
+def test_toxicity_reads_few_postings(monkeypatch):
+    rng = np.random.default_rng(11)
+    examples = examples_of(rng, 1500, 20_000, 300)
+    index = toxicity.Index([f"t{k}" for k in range(20_000)], rng.random(20_000) + 0.1, examples, (1.0, 1.0))
+    many, asked, read, count = np.bincount(np.concatenate([e[2][0] for e in examples])), examples[:200:4], [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *more, **named: read.append(len(x)) or count(x, *more, **named))
+    index.nearest(*index.vector(asked[0][2]))
+    read.clear()
+    for e in asked:
+        index.nearest(*index.vector(e[2]))
+    assert sum(read) < 0.5 * sum(int(many[e[2][0]].sum()) for e in asked)
+
+
+def test_toxicity_nearest_with_ties_and_tiny_weights():
+    rng = np.random.default_rng(12)
+    for n, terms, words, idf in ((1500, 20_000, 60, rng.random(20_000)), (300, 50, 5, 10.0 ** -rng.integers(0, 30, 50)), (10, 40, 9, np.ones(40)), (400, 700, 40, np.zeros(700))):
+        examples = examples_of(rng, n, terms, words)
+        index = toxicity.Index([f"t{k}" for k in range(terms)], idf, examples, (1.0, 1.0))
+        vectors = [index.vector(e[2]) for e in examples]
+        asked = [index.vector(e[2]) for e in examples_of(rng, 40, terms, words)] + vectors[:40]
+        without = [-1] * 40 + list(range(len(vectors[:40])))
+        for (at, values), but, (near, cosines) in zip(asked, without, index.nearest_all(asked, without), strict=True):
+            whole = np.zeros(terms)
+            whole[at] = values
+            sums = [float(np.cumsum([0, *(whole[t] * v)])[-1]) if k != but else 0 for k, (t, v) in enumerate(vectors)]
+            best = sorted((-x, k) for k, x in enumerate(sums) if x)[: toxicity.NEAREST]
+            assert near.tolist() == [k for _, k in best]
+            assert np.allclose(cosines, [-x for x, _ in best], rtol=1e-12, atol=0)
+
+
+def test_toxicity_words_are_those_of_the_pattern():
+    every = "".join(map(chr, range(0x11000)))
+    texts = [every, every[:0xD800], *every.split("0"), "", "A_b", "\u0130\u00df \U0001d400x", "a\ud800b", "\ud835\udc00 z", "Stra\u00dfe--caf\u00e9\x1cdos\u2028tres", "x" * 100_000]
+    texts += [f"{c}a{c}1{c}" for c in every[:0x3100]]
+    for text in texts:
+        assert toxicity.words(text) == toxicity.WORD.findall(text.lower())
+        terms = {w: k for k, w in enumerate(sorted(set(toxicity.words(text)))[::2])}
+        at, times = toxicity.counted(text, terms)
+        want = sorted((terms[w], n) for w, n in Counter(toxicity.WORD.findall(text.lower())).items() if w in terms)
+        assert list(zip(at.tolist(), times.tolist(), strict=True)) == want
+    assert [len(x) for x in toxicity.counted(None, {"a": 0})] == [0, 0]
+
+
 def test_repeated_lines_go(spark):
     line = "the quick brown fox jumps over the lazy dog again and again today"
     table = spark.createDataFrame([(1, f"{line}\nfirst own line of this document here"), (2, f"other words stand in this line alone\n{line}"), (3, None), (4, "")], "doc_id long, text string")
